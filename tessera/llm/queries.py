@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing
+from tessera.llm import mixing, sharding, vector_search
 from tessera.llm.common import table
 
 
@@ -13,5 +13,14 @@ def op8_wfq_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op8_wfq_mix": op8_wfq_mix}
-ORACLES = {"op8_wfq_mix": mixing.ORACLE}
+def op1_va_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), vector_search.quantise(F.col("embedding")).alias("v"))
+    return vector_search.top_k(v, v.where("id % 50 = 0"))
+
+
+def op3_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_va_file_topk": op1_va_file_topk, "op3_label_propagation_shards": op3_label_propagation_shards, "op8_wfq_mix": op8_wfq_mix}
+ORACLES = {"op1_va_file_topk": vector_search.ORACLE, "op8_wfq_mix": mixing.ORACLE}
