@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: The pattern by which byte-level BPE splits text. White space as Unicode's property has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -130,7 +131,7 @@ def coder(spec: str) -> Coder:
     return _CODERS[key]
 
 
-def _mapped(df: DataFrame, column: str, into: str, kind: pa.DataType, spark_type: str, f, rows: int = 256) -> DataFrame:
+def _mapped(df: DataFrame, column: str, into: str, kind: pa.DataType, spark_type: T.DataType, f, rows: int = 256) -> DataFrame:
     """Appends a column made of another, a few rows at a time, so that a batch of long texts stays small."""
     if into in df.columns:
         df = df.drop(into)
@@ -142,8 +143,7 @@ def _mapped(df: DataFrame, column: str, into: str, kind: pa.DataType, spark_type
                 made = pa.array([f(x.as_py()) for x in b.column(column)], kind)
                 yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, into])
 
-    schema = df.schema.add(into, spark_type)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, spark_type)]))
 
 
 def read_vocabulary(path: str) -> str:
@@ -159,10 +159,10 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
     the library does by default. A column already called `ids` is replaced; other columns stay.
     """
     spec = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
-    return _mapped(df, text, ids, pa.list_(pa.int32()), "array<int>", lambda x: coder(spec.value).encode(x or ""))
+    return _mapped(df, text, ids, pa.list_(pa.int32()), T.ArrayType(T.IntegerType()), lambda x: coder(spec.value).encode(x or ""))
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Appends the text of a column of token ids; null counts as none: an empty text."""
     spec = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
-    return _mapped(df, ids, text, pa.string(), "string", lambda x: coder(spec.value).decode(x or []))
+    return _mapped(df, ids, text, pa.string(), T.StringType(), lambda x: coder(spec.value).decode(x or []))
