@@ -6,7 +6,9 @@ import heapq
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -131,6 +133,14 @@ def coder(spec: str) -> Coder:
     return _CODERS[key]
 
 
+def values(column: pa.Array) -> list:
+    """A column's Python values; null lists as empty ones. Lists of numbers go through one flat array."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    flat, ends = np.asarray(column.flatten()), np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(column), 0)))
+    return [x.tolist() for x in np.split(flat, ends[:-1])] if len(ends) else []
+
+
 def _mapped(df: DataFrame, column: str, into: str, kind: pa.DataType, spark_type: T.DataType, f, rows: int = 256) -> DataFrame:
     """Appends a column made of another, a few rows at a time, so that a batch of long texts stays small."""
     if into in df.columns:
@@ -140,7 +150,7 @@ def _mapped(df: DataFrame, column: str, into: str, kind: pa.DataType, spark_type
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 b = whole.slice(at, rows)
-                made = pa.array([f(x.as_py()) for x in b.column(column)], kind)
+                made = pa.array([f(x) for x in values(b.column(column))], kind)
                 yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, into])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, spark_type)]))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, sharding, vector_search
+from tessera.llm import bpe, language, mixing, sharding, vector_search
 from tessera.llm.common import table
 
 
@@ -32,5 +32,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op6_bpe": op6_bpe, "op1_va_file_topk": op1_va_file_topk, "op3_label_propagation_shards": op3_label_propagation_shards, "op8_wfq_mix": op8_wfq_mix}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out(F.col("doc_id")))
+    model = language.learn(docs.where(~F.col("held_out")))
+    found = language.identify(docs.select("doc_id", "held_out", "text"), model, keep_text=False)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {"op9_language_id": op9_language_id, "op6_bpe": op6_bpe, "op1_va_file_topk": op1_va_file_topk, "op3_label_propagation_shards": op3_label_propagation_shards, "op8_wfq_mix": op8_wfq_mix}
 ORACLES = {"op1_va_file_topk": vector_search.ORACLE, "op8_wfq_mix": mixing.ORACLE}
