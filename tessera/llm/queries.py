@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard, language, mixing, personal_data, sharding, vector_search
+from tessera.llm import bpe, jaccard, language, lines, mixing, personal_data, sharding, vector_search
 from tessera.llm.common import table
 
 
@@ -49,5 +49,9 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_jaccard_join": op4_jaccard_join, "op10_pii": op10_pii, "op9_language_id": op9_language_id, "op6_bpe": op6_bpe, "op1_va_file_topk": op1_va_file_topk, "op3_label_propagation_shards": op3_label_propagation_shards, "op8_wfq_mix": op8_wfq_mix}
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_line_dedup": op5_line_dedup, "op4_jaccard_join": op4_jaccard_join, "op10_pii": op10_pii, "op9_language_id": op9_language_id, "op6_bpe": op6_bpe, "op1_va_file_topk": op1_va_file_topk, "op3_label_propagation_shards": op3_label_propagation_shards, "op8_wfq_mix": op8_wfq_mix}
 ORACLES = {"op1_va_file_topk": vector_search.ORACLE, "op8_wfq_mix": mixing.ORACLE}
