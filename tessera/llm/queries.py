@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard, language, licenses, lines, mixing, personal_data, sharding, vector_search
+from tessera.llm import bpe, jaccard, language, licenses, lines, media, mixing, personal_data, sharding, vector_search
 from tessera.llm.common import table
 
 
@@ -57,5 +57,9 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_license_scan": op2_license_scan, "op5_line_dedup": op5_line_dedup, "op4_jaccard_join": op4_jaccard_join, "op10_pii": op10_pii, "op9_language_id": op9_language_id, "op6_bpe": op6_bpe, "op1_va_file_topk": op1_va_file_topk, "op3_label_propagation_shards": op3_label_propagation_shards, "op8_wfq_mix": op8_wfq_mix}
+def op7_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.classes(media.gallery(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES = {"op7_image_copies": op7_image_copies, "op2_license_scan": op2_license_scan, "op5_line_dedup": op5_line_dedup, "op4_jaccard_join": op4_jaccard_join, "op10_pii": op10_pii, "op9_language_id": op9_language_id, "op6_bpe": op6_bpe, "op1_va_file_topk": op1_va_file_topk, "op3_label_propagation_shards": op3_label_propagation_shards, "op8_wfq_mix": op8_wfq_mix}
 ORACLES = {"op1_va_file_topk": vector_search.ORACLE, "op8_wfq_mix": mixing.ORACLE}
