@@ -166,7 +166,7 @@ def chosen_option(c: Column, options: Column, letters: str = "ABCD") -> Column:
     last = lambda what: F.length(padded) - F.length(F.substring_index(padded, what, -1))
     at = lambda form: F.array(*[F.struct(F.when(padded.contains(form(x)), last(form(x))).alias("at"), F.lit(x).alias("letter")) for x in letters])
     best = lambda xs: F.array_max(F.filter(xs, lambda s: s["at"].isNotNull()))["letter"]
-    texts = F.filter(F.transform(options, lambda o, i: F.struct(F.when(F.contains(F.lower(padded), F.lower(o)), F.locate(F.lower(o), F.lower(padded))).alias("at"), F.substring(F.lit(letters), i + 1, F.lit(1)).alias("letter"))), lambda s: s["at"].isNotNull())
+    texts = F.filter(F.transform(options, lambda o, i: F.struct(F.when(F.contains(F.lower(padded), F.lower(o)), F.position(F.lower(o), F.lower(padded))).alias("at"), F.substring(F.lit(letters), i + 1, F.lit(1)).alias("letter"))), lambda s: s["at"].isNotNull())
     long = F.size(F.split(padded, r"\s+")) - 2 > 5
     return F.coalesce(best(at(lambda x: f"({x})")), best(at(lambda x: f" {x} ")), F.when(long, F.array_max(texts)["letter"]))
 
