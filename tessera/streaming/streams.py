@@ -59,7 +59,8 @@ class TagParser:
             self.inside, self.buffer = False, ""
             return reasoning, answer.lstrip("\n")
         # what could still become a tag waits
-        keep = max((n for n in range(1, max(len(self.end), len(self.start))) if self.end.startswith(self.buffer[-n:]) or self.start.startswith(self.buffer[-n:])), default=0) if self.buffer else 0
+        most = min(len(self.buffer), max(len(self.start), len(self.end)) - 1)
+        keep = max((n for n in range(1, most + 1) if self.end.startswith(self.buffer[-n:]) or self.start.startswith(self.buffer[-n:])), default=0)
         out = self.buffer[: len(self.buffer) - keep]
         self.buffer = self.buffer[len(self.buffer) - keep :]
         return out, ""
