@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.sequence import running_sum
+
 # Upper bounds of latency histograms, in seconds.
 TTFT = (0.1, 0.2, 0.4, 0.6, 0.8, 1, 2, 4, 6, 8, 10, 20, 40, 60, 80, 100, 200, 400)
 E2E = (0.1, 0.2, 0.4, 0.6, 0.8, 1, 2, 4, 6, 8, 10, 20, 40, 60, 80, 100, 200, 400, 800)
@@ -52,7 +54,7 @@ def poisson_arrivals(df: DataFrame, order: str, rate: float, seed: int = 0) -> D
     """Adds exponential gaps from a hash of the row and seed, and arrival times, their running sum."""
     u = (F.conv(F.substring(F.md5(F.concat(F.col(order).cast("string"), F.lit(f"|{seed}"))), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
     df = df.withColumn("gap", -F.log(1 - u) / rate)
-    return df.withColumn("arrival", F.sum("gap").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return running_sum(df, [order], "gap", "arrival")
 
 
 def uniform_gap(order: Column, rate: float, seed: int = 0) -> Column:

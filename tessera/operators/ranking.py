@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.sequence import numbered
+
 
 def top_k(df: DataFrame, group: str, score: str, k: int, tie: str) -> DataFrame:
     w = Window.partitionBy(group).orderBy(F.desc(score), tie)
@@ -46,10 +48,10 @@ def longest_prefix(queries: DataFrame, stored: DataFrame, id: str, key: str, pag
 def schedule_order(df: DataFrame, matched: str, tie: str, queue_limit: int = 128, deprioritised: Column | None = None) -> DataFrame:
     """Longest match first, deprioritised ones last; first come first served if the queue is longer than the limit."""
     late = deprioritised if deprioritised is not None else F.lit(False)
-    long = F.count("*").over(Window.partitionBy()) > queue_limit
-    first = F.when(long, F.lit(0)).otherwise(late.cast("int"))
-    second = F.when(long, F.lit(0)).otherwise(-F.col(matched))
-    return df.withColumn("place", F.row_number().over(Window.orderBy(first, second, tie)))
+    if df.count() > queue_limit:
+        return numbered(df, [tie], "place", start=1)
+    keyed = df.withColumn("_late", late.cast("int")).withColumn("_less", -F.col(matched))
+    return numbered(keyed, ["_late", "_less", tie], "place", start=1).drop("_late", "_less")
 
 
 def balanced_packs(df: DataFrame, layer: str, item: str, weight: str, packs: int) -> DataFrame:

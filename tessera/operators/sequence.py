@@ -13,3 +13,13 @@ def numbered(df: DataFrame, order: list[str], name: str, start: int = 0) -> Data
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     return ranged.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_at") + F.col("_start") - 1 + start).cast("long")).drop("_part", "_at", "_start")
+
+
+def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds a running sum in a total order, the same way: one sum a partition is carried on."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    upto = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranged = ranged.withColumn("_in", F.sum(value).over(upto))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_part").agg(F.sum(value).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return ranged.join(F.broadcast(starts), "_part").withColumn(name, F.col("_in") + F.col("_start")).drop("_part", "_in", "_start")

@@ -99,16 +99,16 @@ def shared_prefixes(spark, sf_dir):
 
 def few_shot(spark, sf_dir):
     """Three exemplars with answers before each question; and as many as a budget of words lets through."""
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.substring_index("text", " ", 8).alias("q"), F.substring_index("text", " ", -1).alias("a"))
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("q"), F.substring_index("text", " ", -1).alias("a"))
     shots = prompts.exemplars(b.where("item_id < 3"), "item_id", prompts.question_answer(F.col("q"), F.col("a")))
-    capped = prompts.within_budget(b.where("item_id < 12"), "item_id", prompts.question_answer(F.col("q"), F.col("a")), 60)
-    out = b.where("item_id >= 12").crossJoin(F.broadcast(shots)).crossJoin(F.broadcast(capped.withColumnRenamed("shots", "capped")))
+    capped = prompts.within_budget(b.where("item_id < 12"), "item_id", prompts.question_answer(F.col("q"), F.col("a")), 400)
+    out = b.crossJoin(F.broadcast(shots)).crossJoin(F.broadcast(capped.withColumnRenamed("shots", "capped")))
     return out.select("item_id", F.md5(F.concat("shots", F.lit("Question: "), "q", F.lit("\nAnswer:"))).alias("md5"), F.md5(F.concat("capped", "q")).alias("capped_md5"))
 
 
 def choice_prompts(spark, sf_dir):
     """A question with lettered options, the permuted options, and the letter the gold option gets."""
-    o = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.slice(F.split("text", " "), 1, 4).alias("options"))
+    o = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", prompts.quarters(F.split("text", " ")).alias("options"))
     o = o.withColumn("shuffled", prompts.permuted(F.col("options"), F.col("item_id")))
     gold = F.element_at(F.split(F.lit("A B C D"), " "), F.array_position(F.transform("shuffled", lambda x: x["i"]), 0).cast("int"))
     return o.select("item_id", F.md5(prompts.lettered(F.col("options"))).alias("md5"), F.md5(prompts.bracketed(F.transform("shuffled", lambda x: x["o"]))).alias("shuffled_md5"), gold.alias("gold"))
@@ -189,14 +189,15 @@ ORACLES = {
     "cumulative_history": "SELECT conv_id, turn, md5(string_agg(text, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) AS md5 FROM conversations",
     "shared_prefixes": "SELECT g, item_id, md5(g::VARCHAR || substr('shared instruction for all requests', 2) || chr(10) || chr(10) || text) AS md5 FROM benchmark, range(4) r(g)",
     "few_shot": """
-        WITH b AS (SELECT item_id, array_to_string(string_split(text, ' ')[:8], ' ') AS q, string_split(text, ' ')[-1] AS a FROM benchmark),
+        WITH b AS (SELECT item_id, text AS q, string_split(text, ' ')[-1] AS a FROM benchmark),
         e AS (SELECT item_id, 'Question: ' || q || chr(10) || 'Answer: ' || a || chr(10) || chr(10) AS s FROM b),
         s AS (SELECT string_agg(s, '' ORDER BY item_id) AS shots FROM e WHERE item_id < 3),
         c AS (SELECT coalesce(string_agg(s, '' ORDER BY item_id), '') AS capped FROM (
-            SELECT *, sum(len(regexp_extract_all(s, '[^ \\n]+'))) OVER (ORDER BY item_id) AS used FROM e WHERE item_id < 12) WHERE used <= 60)
-        SELECT item_id, md5(shots || 'Question: ' || q || chr(10) || 'Answer:') AS md5, md5(capped || q) AS capped_md5 FROM b, s, c WHERE item_id >= 12""",
+            SELECT *, sum(len(regexp_extract_all(s, '[^ \\n]+'))) OVER (ORDER BY item_id) AS used FROM e WHERE item_id < 12) WHERE used <= 400)
+        SELECT item_id, md5(shots || 'Question: ' || q || chr(10) || 'Answer:') AS md5, md5(capped || q) AS capped_md5 FROM b, s, c""",
     "choice_prompts": """
-        WITH o AS (SELECT item_id, string_split(text, ' ')[:4] AS o FROM benchmark),
+        WITH w AS (SELECT item_id, string_split(text, ' ') AS w, len(string_split(text, ' ')) // 4 AS k FROM benchmark),
+        o AS (SELECT item_id, [array_to_string(w[1:k], chr(10)), array_to_string(w[k + 1:2 * k], chr(10)), array_to_string(w[2 * k + 1:3 * k], chr(10)), array_to_string(w[3 * k + 1:], chr(10))] AS o FROM w),
         x AS (SELECT item_id, i, o[i + 1] AS w, row_number() OVER (PARTITION BY item_id ORDER BY md5(item_id::VARCHAR || ':' || i::VARCHAR)) AS p FROM o, range(4) r(i))
         SELECT item_id, md5(string_agg(chr(65 + i::INTEGER) || '. ' || w, chr(10) ORDER BY i) || chr(10) || 'Answer:') AS md5,
                md5(string_agg('(' || chr(64 + p::INTEGER) || ') ' || w || chr(10), '' ORDER BY p)) AS shuffled_md5, max(CASE WHEN i = 0 THEN chr(64 + p::INTEGER) END) AS gold

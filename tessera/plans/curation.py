@@ -63,8 +63,10 @@ def dedup_precedence(spark, sf_dir):
 
 
 def anti_join_seen(spark, sf_dir):
+    """Documents whose text isn't that of a labelled document or a benchmark item."""
     d = _docs(spark, sf_dir).select("doc_id", F.md5("text").alias("fp"))
-    seen = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.md5("text").alias("fp")).union(d.where("doc_id % 7 = 0").select("fp"))
+    labelled = d.join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id"), "doc_id", "left_semi")
+    seen = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.md5("text").alias("fp")).union(labelled.select("fp"))
     return dedup.unseen(d, seen, "fp").select("doc_id", "fp")
 
 
@@ -187,7 +189,7 @@ ORACLES = {
             QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY source_rank, doc_id) = 1) GROUP BY 1""",
     "anti_join_seen": """
         SELECT doc_id, md5(text) AS fp FROM documents
-        WHERE md5(text) NOT IN (SELECT md5(text) FROM benchmark UNION ALL SELECT md5(text) FROM documents WHERE doc_id % 7 = 0)""",
+        WHERE md5(text) NOT IN (SELECT md5(text) FROM benchmark UNION ALL SELECT md5(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))""",
     "first_n_in_order": """
         SELECT doc_id, source FROM (SELECT * FROM documents WHERE length(text) BETWEEN 100 AND 20000
             QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1) ORDER BY doc_id LIMIT 100""",

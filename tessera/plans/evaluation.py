@@ -93,9 +93,9 @@ def zipped_predictions(spark, sf_dir):
 
 
 def word_containment(spark, sf_dir):
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.substring_index("text", " ", 2).alias("label"))
-    d = _docs(spark, sf_dir).crossJoin(F.broadcast(b.where("item_id < 5")))
-    return d.groupBy("item_id").agg(F.count_if(answers.holds_all_words(F.col("text"), F.col("label"))).alias("n"))
+    """Documents that hold every word of a label."""
+    label = F.when(F.col("lang") == "en", "the and").otherwise(F.concat(F.lit("la "), F.col("lang")))
+    return _docs(spark, sf_dir).groupBy("lang").agg(F.count_if(answers.holds_all_words(F.col("text"), label)).alias("n"))
 
 
 def any_number_match(spark, sf_dir):
@@ -135,14 +135,15 @@ def code_blocks(spark, sf_dir):
 
 
 def reasoning_split(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("<think>"), F.substring("text", 1, 20), F.when(F.col("doc_id") % 3 != 0, F.lit("</think>")).otherwise(F.lit("")), F.substring("text", 30, 20)).alias("t"))
+    d = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("<think>"), "text", F.when(F.col("doc_id") % 3 != 0, F.lit("</think>")).otherwise(F.lit("")), "source").alias("t"))
     return d.select("doc_id", text.split_reasoning(F.col("t")).alias("r")).select("doc_id", F.length("r.reasoning").alias("n_reasoning"), F.length("r.answer").alias("n_answer"))
 
 
 def overlap_merge(spark, sf_dir):
     """Chunks of a text that overlap, put together again."""
-    d = _docs(spark, sf_dir).select("doc_id", F.substring("text", 1, 60).alias("a"), F.substring("text", 41, 60).alias("b"))
-    return d.select("doc_id", F.md5(F.concat("a", text.trim_overlap(F.col("a"), F.col("b")))).alias("md5"))
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumn("n", F.length("text"))
+    d = b.select("item_id", F.substring("text", F.lit(1), F.ceil(F.col("n") * 0.6).cast("int")).alias("a"), F.substring("text", F.floor(F.col("n") * 0.4).cast("int") + 1, F.col("n")).alias("b"))
+    return d.select("item_id", F.md5(F.concat("a", text.trim_overlap(F.col("a"), F.col("b")))).alias("md5"))
 
 
 def math_answers(spark, sf_dir):
@@ -177,7 +178,7 @@ ORACLES = {
     "lookup_default_category": "SELECT CASE WHEN lang IN ('en', 'de') THEN 'west' WHEN lang = 'fr' THEN 'south' ELSE 'other' END AS family, count(*) AS n FROM documents GROUP BY 1",
     "ordered_hash_join": "SELECT d.doc_id, l.source FROM documents d JOIN (SELECT md5(text) AS h, arg_max(source, doc_id) AS source FROM documents GROUP BY 1) l ON md5(d.text) = l.h",
     "zipped_predictions": f"SELECT quality, pred, count(*) AS n, count(*) FILTER (toxic = 1) AS toxic FROM {_J} GROUP BY 1, 2",
-    "word_containment": "SELECT item_id, count(*) FILTER (contains(lower(d.text), lower(split_part(b.text, ' ', 1))) AND contains(lower(d.text), lower(split_part(b.text, ' ', 2)))) AS n FROM documents d, benchmark b WHERE item_id < 5 GROUP BY 1",
+    "word_containment": "SELECT lang, count(*) FILTER (CASE WHEN lang = 'en' THEN contains(lower(text), 'the') AND contains(lower(text), 'and') ELSE contains(lower(text), 'la') AND contains(lower(text), lang) END) AS n FROM documents GROUP BY 1",
     "any_number_match": "SELECT event_type, count(*) FILTER (list_contains(regexp_extract_all(props, '\\d+'), (event_id % 100)::VARCHAR)) AS n FROM events GROUP BY 1",
     "free_choices": "SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'C' WHEN 1 THEN 'B' WHEN 2 THEN 'C' END AS choice FROM benchmark",
     "normal_values": "SELECT s_suppkey, '1' || (s_suppkey % 900 + 100)::VARCHAR || '.12' AS v, ' q ' AS one FROM supplier",
@@ -190,6 +191,6 @@ ORACLES = {
         SELECT vec_id, i::INTEGER AS label, round(e[i + 1] / (e[1] + e[2] + e[3]), 6) AS share FROM v, range(3) r(i)""",
     "code_blocks": "SELECT item_id, '    return ' || item_id || chr(10) AS body, item_id::VARCHAR AS output FROM benchmark",
     "overlap_merge": """
-        SELECT doc_id, md5(a || substr(b, 1 + coalesce(list_max(list_filter(range(1, least(length(a), length(b)) + 1), lambda n: right(a, n) = left(b, n))), 0))) AS md5
-        FROM (SELECT doc_id, substr(text, 1, 60) AS a, substr(text, 41, 60) AS b FROM documents)""",
+        SELECT item_id, md5(a || substr(b, 1 + coalesce(list_max(list_filter(range(1, least(length(a), length(b)) + 1), lambda n: right(a, n) = left(b, n))), 0))) AS md5
+        FROM (SELECT item_id, substr(text, 1, ceil(length(text) * 0.6::DOUBLE)::INT) AS a, substr(text, floor(length(text) * 0.4::DOUBLE)::INT + 1) AS b FROM benchmark)""",
 }

@@ -61,7 +61,7 @@ def inter_event_gap(spark, sf_dir):
 
 
 def poisson_arrivals(spark, sf_dir):
-    return latency.poisson_arrivals(_requests(spark, sf_dir).where("event_id < 2000").select("event_id"), "event_id", 4.0).select("event_id", F.round("gap", 6).alias("gap"), F.round("arrival", 4).alias("arrival"))
+    return latency.poisson_arrivals(_requests(spark, sf_dir).select("event_id"), "event_id", 4.0).select("event_id", F.round("gap", 6).alias("gap"), F.round("arrival", 3).alias("arrival"))
 
 
 def topk_components(spark, sf_dir):
@@ -70,16 +70,16 @@ def topk_components(spark, sf_dir):
 
 
 def topk_neighbours(spark, sf_dir):
-    """The three vectors of largest dot product with each of the first ten."""
+    """The three vectors of largest dot product with each whose id is divisible by 100."""
     v = _vectors(spark, sf_dir).select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 3)).alias("e"))
-    q = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
     dot = F.aggregate(F.zip_with("q", "e", lambda a, b: F.round(a * b * 1e6).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    s = v.crossJoin(F.broadcast(q)).where("vec_id <> query_id").select("query_id", "vec_id", dot.alias("score"))
+    s = v.crossJoin(q).where("vec_id <> query_id").select("query_id", "vec_id", dot.alias("score"))
     return ranking.top_k(s, "query_id", "score", 3, "vec_id")
 
 
 def nucleus_filter(spark, sf_dir):
-    v = _vectors(spark, sf_dir).where("vec_id < 100").select("vec_id", F.posexplode("embedding").alias("place", "x")).withColumn("e", F.round(F.abs(F.col("x").cast("double")), 4))
+    v = _vectors(spark, sf_dir).select("vec_id", F.posexplode("embedding").alias("place", "x")).withColumn("e", F.round(F.abs(F.col("x").cast("double")), 4))
     p = v.withColumn("p", F.col("e") / F.sum("e").over(Window.partitionBy("vec_id")))
     return ranking.nucleus(p, "vec_id", "p", "place", 20, 0.5, 0.05).select("vec_id", "place", "rank", F.round("kept_p", 5).alias("kept_p"))
 
@@ -89,15 +89,18 @@ def penalties(spark, sf_dir):
     return e.select("event_type", "u", F.round(ranking.penalised(F.col("logit"), F.col("n"), 0.5, 2.0, F.lit(False), F.lit(1), 0), 2).alias("logit"), (ranking.penalised(F.col("logit"), F.col("n"), 0.5, 2.0, F.col("u") == 0, F.lit(1), 4) == float("-inf")).alias("blocked"))
 
 
+def _matched(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("key"), "source")
+    return ranking.longest_prefix(d.where("source <> 'src0'"), d.where("source = 'src0'"), "doc_id", "key", page=64)
+
+
 def longest_prefix_match(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring("text", 1, 48).alias("key"))
-    return ranking.longest_prefix(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), "doc_id", "key", page=4)
+    """The longest prefix, in pages of 64 characters, that each document shares with one of the largest source."""
+    return _matched(spark, sf_dir).withColumn("stored_id", F.coalesce("stored_id", F.lit(-1)))
 
 
 def prefix_schedule(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring("text", 1, 48).alias("key")).where("doc_id < 200")
-    m = ranking.longest_prefix(d.where("doc_id < 100"), d.where("doc_id >= 100"), "doc_id", "key", page=4)
-    return ranking.schedule_order(m, "matched", "doc_id", deprioritised=F.col("doc_id") % 10 == 0).select("doc_id", "matched", "place")
+    return ranking.schedule_order(_matched(spark, sf_dir), "matched", "doc_id", queue_limit=10**12, deprioritised=F.col("doc_id") % 10 == 0).select("doc_id", "matched", "place")
 
 
 def redirect_chain(spark, sf_dir):
@@ -163,9 +166,11 @@ def _hist(value: str, bounds, weight: str) -> str:
         SELECT CASE WHEN b = 'inf'::DOUBLE THEN -1.0::DOUBLE ELSE b END AS le, coalesce(n, 0) AS count, sum(coalesce(n, 0)) OVER (ORDER BY b)::BIGINT AS cumulative FROM e LEFT JOIN c ON b = le"""
 
 
-_PREFIX = """(SELECT q.doc_id, coalesce(max(k), 0)::BIGINT * 4 AS matched, arg_min(s.doc_id, (1000 - k) * 10000000 + s.doc_id) AS stored_id
-    FROM (SELECT * FROM k WHERE {q}) q LEFT JOIN (SELECT s.doc_id, s.key, k FROM (SELECT * FROM k WHERE {s}) s, range(1, 13) r(k) WHERE length(s.key) >= 4 * k) s
-      ON substr(q.key, 1, 4 * k) = substr(s.key, 1, 4 * k) AND length(q.key) >= 4 * k GROUP BY 1)"""
+_PREFIX = """(
+    WITH k AS (SELECT doc_id, source, md5(substr(text, 1, 64 * k)) AS h, k FROM documents, range(1, 2000) r(k) WHERE length(text) >= 64 * k),
+    s AS (SELECT k, h, min(doc_id) AS s FROM k WHERE source = 'src0' GROUP BY 1, 2)
+    SELECT d.doc_id, coalesce(max(m.k), 0)::BIGINT * 64 AS matched, arg_max(m.s, m.k) AS stored_id
+    FROM documents d LEFT JOIN (SELECT k.doc_id, k.k, s.s FROM k JOIN s ON s.k = k.k AND s.h = k.h) m ON m.doc_id = d.doc_id WHERE d.source <> 'src0' GROUP BY 1)"""
 
 ORACLES = {
     "latency_stats": f"SELECT event_type, count(*) AS completed, sum(output_len)::BIGINT AS output_tokens, {_STATS('latency', 'e2e')}, {_STATS('ttft', 'ttft')}, {_STATS('CASE WHEN output_len > 1 THEN (latency - ttft) / (output_len - 1) END', 'tpot')} FROM {_R} WHERE success GROUP BY 1",
@@ -180,20 +185,20 @@ ORACLES = {
         SELECT user_id, sum(output_len)::BIGINT AS n, round(sum(g), 0)::BIGINT AS total FROM (
             SELECT user_id, output_len, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM {_R}) WHERE g IS NOT NULL GROUP BY 1""",
     "poisson_arrivals": """
-        WITH u AS (SELECT event_id, (('0x' || substr(md5(event_id::VARCHAR || '|0'), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM events WHERE event_id < 2000)
-        SELECT event_id, round(-ln(1 - u) / 4.0::DOUBLE, 6) AS gap, round(sum(-ln(1 - u) / 4.0::DOUBLE) OVER (ORDER BY event_id), 4) AS arrival FROM u""",
+        WITH u AS (SELECT event_id, (('0x' || substr(md5(event_id::VARCHAR || '|0'), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM events)
+        SELECT event_id, round(-ln(1 - u) / 4.0::DOUBLE, 6) AS gap, round(sum(-ln(1 - u) / 4.0::DOUBLE) OVER (ORDER BY event_id), 3) AS arrival FROM u""",
     "topk_components": """
         SELECT vec_id, (i - 1)::INTEGER AS place, r::INTEGER AS rank FROM (
             SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS r FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)) WHERE r <= 3""",
     "topk_neighbours": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 3)) AS e FROM embeddings),
-        s AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda p: round(p[1] * p[2] * 1e6)::BIGINT))::BIGINT AS score FROM v q, v WHERE q.vec_id < 10 AND v.vec_id <> q.vec_id)
+        s AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda p: round(p[1] * p[2] * 1e6)::BIGINT))::BIGINT AS score FROM v q, v WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id)
         SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s QUALIFY rank <= 3""",
     "penalties": """
         WITH e AS (SELECT event_type, user_id % 10 AS u, count(*) AS n, round(sum(value), 2) AS logit FROM events GROUP BY 1, 2)
         SELECT event_type, u, round(logit - 0.5::DOUBLE * n - 2.0::DOUBLE, 2) AS logit, u = 0 AS blocked FROM e""",
-    "longest_prefix_match": "WITH k AS (SELECT doc_id, substr(text, 1, 48) AS key FROM documents) SELECT * FROM " + _PREFIX.format(q="doc_id % 2 = 0", s="doc_id % 2 = 1"),
-    "prefix_schedule": "WITH k AS (SELECT doc_id, substr(text, 1, 48) AS key FROM documents) SELECT doc_id, matched, row_number() OVER (ORDER BY doc_id % 10 = 0, matched DESC, doc_id)::INTEGER AS place FROM " + _PREFIX.format(q="doc_id < 100", s="doc_id BETWEEN 100 AND 199"),
+    "longest_prefix_match": f"SELECT doc_id, matched, coalesce(stored_id, -1) AS stored_id FROM {_PREFIX}",
+    "prefix_schedule": f"SELECT doc_id, matched, row_number() OVER (ORDER BY doc_id % 10 = 0, matched DESC, doc_id) AS place FROM {_PREFIX}",
     "redirect_chain": """
         WITH RECURSIVE g AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN doc_id ELSE doc_id // 2 END AS t FROM documents),
         c AS (SELECT doc_id, doc_id AS p, 0 AS hops FROM g UNION ALL SELECT c.doc_id, g.t, hops + 1 FROM c JOIN g ON g.doc_id = c.p WHERE g.t <> c.p),
