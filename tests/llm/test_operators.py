@@ -188,7 +188,7 @@ def test_components(spark):
 
 
 def brute_lines(rows):
-    norm = lambda s: re.sub(r"[^\w ]|_", "", s).lower().strip(" ")
+    norm = lambda s: s.lower().strip(" ") if any(map(str.isalnum, s)) else ""
     seen = defaultdict(set)
     for i, t in rows:
         for k, line in enumerate((t or "").split("\n")):
