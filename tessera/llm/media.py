@@ -183,9 +183,9 @@ def classes(media: DataFrame, key: str = "media_id", image: str = "image", diffe
     rows = f.select(F.struct("id", "row", "col", "level", "angle", "d0", "d1").alias("f"), F.explode(keys).alias("k"))
     w = Window.partitionBy("k.t", "k.v").orderBy("f")
     rows = rows.withColumn("head", F.first("f").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.lag("f").over(w))
-    pairs = rows.select("f", F.explode(F.array("head", "before")).alias("g")).where("g IS NOT NULL AND g.id <> f.id").distinct()
     far = F.bit_count(F.col("f.d0").bitwiseXOR(F.col("g.d0"))) + F.bit_count(F.col("f.d1").bitwiseXOR(F.col("g.d1")))
-    pairs = pairs.where(far <= differing)
+    # compared where they meet: most features that share a key are far apart
+    pairs = rows.select("f", F.explode(F.array("head", "before")).alias("g")).where(F.col("g").isNotNull() & (F.col("g.id") != F.col("f.id")) & (far <= differing)).distinct()
     # g's place after the turn and scale that the two features differ by; what remains is the shift
     turn = F.pmod(F.col("f.angle") - F.col("g.angle"), F.lit(ANGLES))
     rad = turn * (2 * np.pi / ANGLES)
