@@ -206,12 +206,17 @@ def classes(media: DataFrame, key: str = "media_id", image: str = "image", diffe
     return out.select(key, F.coalesce("n_features", zero).alias("n_features"), F.when(F.col(key).isNotNull(), F.coalesce("root", "v")).alias("class_id"), F.coalesce("n_links", zero).alias("n_links"))
 
 
+#: The orders in which a drawing's quarters take the components.
+ORDERS = [np.random.default_rng(7 + k).permutation(64) for k in range(4)]
+
+
 def drawn(vector) -> np.ndarray:
-    """A 64 x 64 image of a vector: its first 64 components as an 8 x 8 board of squares."""
+    """A 64 x 64 image of a vector: 16 x 16 squares, its first 64 components in four orders. A feature's patch spans some sixteen squares, so features tell images apart."""
     v = np.nan_to_num(np.asarray(vector, np.float64)[:64], posinf=0, neginf=0)
     v = np.pad(v, (0, 64 - len(v)))
     spread = np.abs(v).max() or 1.0
-    return np.kron(np.rint(128 + 120 * v / spread).reshape(8, 8), np.ones((8, 8))).clip(0, 255).astype(np.uint8)
+    a, b, c, d = (np.rint(128 + 120 * v[o] / spread).reshape(8, 8) for o in ORDERS)
+    return np.kron(np.block([[a, b], [c, d]]), np.ones((4, 4))).clip(0, 255).astype(np.uint8)
 
 
 def edited(image: np.ndarray, how: int) -> np.ndarray:
