@@ -185,7 +185,10 @@ def classes(media: DataFrame, key: str = "media_id", image: str = "image", diffe
     rows = rows.withColumn("head", F.first("f").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.lag("f").over(w))
     far = F.bit_count(F.col("f.d0").bitwiseXOR(F.col("g.d0"))) + F.bit_count(F.col("f.d1").bitwiseXOR(F.col("g.d1")))
     # compared where they meet: most features that share a key are far apart
-    pairs = rows.select("f", F.explode(F.array("head", "before")).alias("g")).where(F.col("g").isNotNull() & (F.col("g.id") != F.col("f.id")) & (far <= differing)).distinct()
+    pairs = rows.select("f", F.explode(F.array("head", "before")).alias("g")).where(F.col("g").isNotNull() & (F.col("g.id") != F.col("f.id")) & (far <= differing))
+    # two images need `agreeing` features in common before votes are made; one exchange by image pair serves all three steps
+    pairs = pairs.select("f", "g", F.col("f.id").alias("b"), F.col("g.id").alias("a")).repartition("a", "b").dropDuplicates(["a", "b", "f", "g"])
+    pairs = pairs.withColumn("common", F.count("*").over(Window.partitionBy("a", "b"))).where(F.col("common") >= agreeing)
     # g's place after the turn and scale that the two features differ by; what remains is the shift
     turn = F.pmod(F.col("f.angle") - F.col("g.angle"), F.lit(ANGLES))
     rad = turn * (2 * np.pi / ANGLES)
@@ -194,7 +197,7 @@ def classes(media: DataFrame, key: str = "media_id", image: str = "image", diffe
     shift_row = F.col("f.row") - ratio * (F.col("g.row") * F.cos(rad) + F.col("g.col") * F.sin(rad))
     shift_col = F.col("f.col") - ratio * (F.col("g.col") * F.cos(rad) - F.col("g.row") * F.sin(rad))
     grid = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0.0, 0.5) for b in (0.0, 0.5)])).alias("grid")
-    votes = pairs.select(F.col("f.id").alias("b"), F.col("g.id").alias("a"), "f", F.floor(turn / 4).alias("turn"), F.round(F.log2(ratio) * 2).alias("zoom"), shift_row.alias("sr"), shift_col.alias("sc"), grid)
+    votes = pairs.select("b", "a", "f", F.floor(turn / 4).alias("turn"), F.round(F.log2(ratio) * 2).alias("zoom"), shift_row.alias("sr"), shift_col.alias("sc"), grid)
     votes = votes.groupBy("a", "b", "turn", "zoom", "grid", F.floor(F.col("sr") / 8 + F.col("grid.a")), F.floor(F.col("sc") / 8 + F.col("grid.b"))).agg(F.countDistinct("f.row", "f.col").alias("n"))
     links = scratch.save(votes.where(F.col("n") >= agreeing).select("a", "b").distinct(), "links")
     roots = components(links, scratch)
