@@ -233,6 +233,23 @@ def test_line_dedup_odd(spark, odd):
     assert lines.dedup(odd.where("1 = 0")).count() == 0
 
 
+def line_drops(spark, texts):
+    """How many lines of one document each are dropped, and how many brute force drops."""
+    rows = list(enumerate(texts))
+    return sum(len(r.dropped) for r in lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()), brute_lines(rows)
+
+
+def test_lines_that_repeat_themselves_or_have_long_tokens(spark):
+    rng = random.Random(12)
+    token = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(30))
+    once = "the cat sat on the mat while a dog ran over the old blue river"
+    tokens = [token() for _ in range(10)]
+    changed = [t if k < 4 else t[:29] + "#" for k, t in enumerate(tokens)]
+    texts = [once, f"{once} {once}", "buy now " * 4, "buy now " * 40, " ".join(tokens), " ".join(changed), prose(rng, 12), prose(rng, 40)]
+    got, want = line_drops(spark, texts)
+    assert got == want == 3
+
+
 # op6
 
 
