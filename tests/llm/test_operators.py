@@ -250,6 +250,25 @@ def test_lines_that_repeat_themselves_or_have_long_tokens(spark):
     assert got == want == 3
 
 
+def test_lines_without_spaces(spark):
+    rng = random.Random(13)
+    make = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    chinese, letters = make(300), "".join(rng.choice("abcdefghij") for _ in range(300))
+    texts = [chinese, "x" + chinese[1:], letters, "z" + letters[1:], chinese[:150] + "y" + chinese[151:]]
+    # one beginning and different ends; short lines that differ near an end
+    texts += [letters[:20] + make(60) for _ in range(6)] + ["abcdefghijklmn", "abcdefghijklmx", "xbcdefghijklmn"]
+    got, want = line_drops(spark, texts)
+    assert got == want == 5
+
+
+def test_scales_of_signatures_meet():
+    for a in range(1, 400):
+        for b in range(a, 400):
+            if 100 * a >= 80 * b:
+                has = [{w for k, (w, most) in enumerate(lines.SCALES) if (most is None or x <= most) and (not k or 100 * x >= 80 * (lines.SCALES[k - 1][1] + 1))} for x in (a, b)]
+                assert has[0] & has[1]
+
+
 # op6
 
 
