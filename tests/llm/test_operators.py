@@ -261,6 +261,17 @@ def test_lines_without_spaces(spark):
     assert got == want == 5
 
 
+def test_lines_with_many_others_between(spark, monkeypatch):
+    monkeypatch.setattr(lines, "BLOCK", 16)
+    rng = random.Random(14)
+    make = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common = make(30)
+    texts = [common + make(40) for _ in range(120)]
+    copies = [t[:68] + "#%" for t in texts[::10]]
+    got, want = line_drops(spark, texts + copies)
+    assert got == want == len(copies)
+
+
 def test_scales_of_signatures_meet():
     for a in range(1, 400):
         for b in range(a, 400):
