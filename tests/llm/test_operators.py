@@ -272,6 +272,12 @@ def test_lines_with_many_others_between(spark, monkeypatch):
     assert got == want == len(copies)
 
 
+def test_lines_equal_but_for_punctuation(spark):
+    texts = ["Click here!", "click here.", "- item one", "* item one", "Menu", "Menu\r", "\tMenu", "a-b", "ab"]
+    got, _ = line_drops(spark, texts)
+    assert got == 4
+
+
 def test_scales_of_signatures_meet():
     for a in range(1, 400):
         for b in range(a, 400):
