@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,8 @@ def propagate(cells: DataFrame, shards: int, capacity: int, rounds: int, scratch
     `cells` has a row for each group and shard, with n documents there: a group's documents in one shard are alike, so
     a round moves counts, and a group of any size is at most `shards` rows. In a round each cell asks to join the
     largest cell of its group among shards with room; all that ask for a shard get the same share of its room, as
-    whole documents by a hash's rounding. Rounds end when nothing moved. The driver sees one row a shard.
+    whole documents by a hash's rounding. Rounds end when no cell asks; each move raises the sum of the cells' squares,
+    so they do end. A warning tells if `rounds` were not enough. The driver sees one row a shard.
     """
     for step in range(rounds):
         loads = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
@@ -43,14 +46,16 @@ def propagate(cells: DataFrame, shards: int, capacity: int, rounds: int, scratch
         after = asked.select("g", F.explode(F.array(F.struct("shard", (F.col("n") - F.col("moved")).alias("n")), F.struct(F.col("to").alias("shard"), F.col("moved").alias("n")))).alias("c"))
         after = after.where("c.n > 0").groupBy("g", F.col("c.shard").alias("shard")).agg(F.sum("c.n").alias("n"))
         cells = scratch.save(after, "cells")
+        scratch.drop(asked)
+    warnings.warn(f"label propagation ended after {rounds} rounds, before it converged", stacklevel=2)
     return cells
 
 
-def shard(docs: DataFrame, shards: int = 40, text: str = "text", rounds: int = 6, rows_per_bucket: int = 20_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, text: str = "text", rounds: int | None = None, rows_per_bucket: int = 20_000) -> DataFrame:
     """Puts every document into one of `shards` shards whose row counts differ by one at most (law `rows`).
 
     Documents of equal text are linked. All start in a shard by hash; balanced label propagation gathers groups under
-    the shards' capacity; then documents above a shard's quota, those without links first, go to shards below theirs.
+    the shards' capacity until no group gains (or for `rounds`, by default 10 a shard); then documents above a shard's quota, those without links first, go to shards below theirs.
     A group is split only if it is larger than a shard, or where no shard has room for it.
 
     Columns: doc_id, size (UTF-8 bytes of the text plus 16), text_crc32, law, shard, slot (gapless from 0 in a shard),
@@ -72,7 +77,7 @@ def shard(docs: DataFrame, shards: int = 40, text: str = "text", rounds: int = 6
     cells = base.where("g IS NOT NULL").groupBy("g", start.alias("shard")).agg(F.count("*").alias("n"))
     linked = cells.groupBy("g").agg(F.sum("n").alias("all"))
     cells = scratch.save(cells.join(linked.where("all > 1").select("g"), "g"), "cells")
-    cells = propagate(cells, shards, max(1, total // shards), rounds, scratch)
+    cells = propagate(cells, shards, max(1, total // shards), 10 * shards if rounds is None else rounds, scratch)
     # a group's shards as shares of the unit interval: each of its documents falls into one by its hash
     by_size = Window.partitionBy("g").orderBy(F.desc("n"), "shard")
     ends = cells.withColumn("end", F.sum("n").over(by_size) / F.sum("n").over(Window.partitionBy("g")))

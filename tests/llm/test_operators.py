@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -121,6 +122,15 @@ def test_groups_stay_together_where_they_fit(spark):
     assert sum(len(s) > 1 for s in homes.values()) <= 2
 
 
+def test_a_group_of_many_shards_gathers(spark):
+    rows = [(i, "hot" if i < 10_000 else f"alone{i}") for i in range(20_000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 20).collect()
+    assert set(sharded(got).values()) == {1000}
+    hot = Counter(r.shard for r in got if r.text_crc32 == zlib.crc32(b"hot"))
+    # ten shards hold it; a few documents fall beside them by their hashes
+    assert sum(hot.values()) == 10_000 and sum(n * n for n in hot.values()) >= 0.85 * 10 * 1000**2
+
+
 def test_few_or_no_rows_to_shard(spark):
     d = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     assert sorted(r.slot for r in sharding.shard(d, 40).collect()) == [0, 0]
@@ -262,7 +272,7 @@ def test_lines_without_spaces(spark):
 
 
 def test_lines_with_many_others_between(spark, monkeypatch):
-    monkeypatch.setattr(lines, "BLOCK", 16)
+    monkeypatch.setattr(lines, "BLOCK", 16, raising=False)
     rng = random.Random(14)
     make = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
     common = make(30)
