@@ -13,13 +13,16 @@ from pyspark.sql import types as T
 from tessera.llm.common import Scratch
 from tessera.llm.components import components
 
-#: Scales of the pyramid and corners kept at each.
+#: Scales of the pyramid and corners kept at each in an image of AREA pixels or less; more in proportion in larger ones.
 SCALES = ((1.0, 16), (0.7071, 8), (0.5, 6))
 RADIUS = 7
 ANGLES = 32
 BITS = 128
 #: Keys of 32 bits each, so descriptors that differ in up to 3 bits always share one.
 TABLES = 4
+AREA = 64 * 64
+#: Features of a block of a bucket; all pairs of two blocks meet in one task.
+BLOCK = 1024
 
 
 def to_pgm(image: np.ndarray) -> bytes:
@@ -95,6 +98,7 @@ def describe(images: np.ndarray) -> list[np.ndarray]:
     """Features of a batch of grey images of one size: for each image an array of (row, column, scale level, angle, descriptor as two 64-bit words)."""
     per_image: list[list[np.ndarray]] = [[] for _ in images]
     full = images.astype(np.float32)
+    times = max(1.0, images[0].size / AREA) if len(images) else 1.0
     for level, (scale, count) in enumerate(SCALES):
         x = box(full if scale == 1 else resized(box(full, 1), scale), 1)
         rows, cols = x.shape[1:]
@@ -111,7 +115,7 @@ def describe(images: np.ndarray) -> list[np.ndarray]:
             for dc in range(-2, 3):
                 peak = np.maximum(peak, corner[:, edge + dr : rows - edge + dr, edge + dc : cols - edge + dc])
         flat = np.where((inner >= peak) & (inner > 100.0), inner, -1).reshape(len(x), -1)
-        k = min(count, flat.shape[1])
+        k = min(int(np.ceil(count * times)), flat.shape[1])
         top = np.argpartition(-flat, k - 1, axis=1)[:, :k]
         n, j = np.nonzero(np.take_along_axis(flat, top, 1) > 0)
         if not len(n):
@@ -161,31 +165,33 @@ def features(media: DataFrame, key: str, image: str) -> DataFrame:
     return media.select(key, image).where(F.col(key).isNotNull()).mapInArrow(run, f"`{key}` long, {FEATURES}")
 
 
-def classes(media: DataFrame, key: str = "media_id", image: str = "image", differing: int = 12, agreeing: int = 4) -> DataFrame:
-    """(key, n_features, class_id, n_links): images and the class of copies each belongs to, named by its smallest key.
-
-    Images of equal bytes are one. A feature meets, in each of four Hamming tables of 32-bit keys, its bucket's first
-    image and the one before it, so a bucket of any size gives pairs in proportion to it. Pairs of features that
-    differ in at most `differing` of 128 bits vote for a shift, turn and scale; images with `agreeing` distinct
-    features behind one of them are linked, and links form classes. Null images and bytes that aren't a binary PGM
-    have no features and, but for equal bytes, are classes of their own. Keys are longs; rows of one key and bytes
-    count once; a null key keeps its row and gets no class.
-    """
-    scratch = Scratch(media.sparkSession)
-    named = media.select(F.col(key).cast("long").alias(key), F.xxhash64(image, F.length(image)).alias("pixels"), F.col(image).isNotNull().alias("there"))
-    named = scratch.save(named, "named")
-    same = named.where(f"there AND `{key}` IS NOT NULL").groupBy("pixels").agg(F.min(key).alias("first"))
-    own = named.where("there").join(same, "pixels").where(F.col(key) == F.col("first")).select(key).distinct()
-    kept = media.select(F.col(key).cast("long").alias(key), image).join(own, key)
-    f = scratch.save(features(kept, key, image).withColumnRenamed(key, "id").distinct(), "features")
+def linked(f: DataFrame, differing: int, agreeing: int, scratch: Scratch) -> DataFrame:
+    """The pairs of images (a, b) that features (id, row, col, level, angle, d0, d1) link, but for those within a class that others join."""
     part = lambda w, k: F.shiftrightunsigned(w, 32 * k).bitwiseAND(F.lit(0xFFFFFFFF))
     keys = F.array(*[F.struct(F.lit(i).alias("t"), part(F.col(f"d{i // 2}"), i % 2).alias("v")) for i in range(TABLES)])
     rows = f.select(F.struct("id", "row", "col", "level", "angle", "d0", "d1").alias("f"), F.explode(keys).alias("k"))
     w = Window.partitionBy("k.t", "k.v").orderBy("f")
-    rows = rows.withColumn("head", F.first("f").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.lag("f").over(w))
+    near = rows.withColumn("head", F.first("f").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.lag("f").over(w))
     far = F.bit_count(F.col("f.d0").bitwiseXOR(F.col("g.d0"))) + F.bit_count(F.col("f.d1").bitwiseXOR(F.col("g.d1")))
     # compared where they meet: most features that share a key are far apart
-    pairs = rows.select("f", F.explode(F.array("head", "before")).alias("g")).where(F.col("g").isNotNull() & (F.col("g.id") != F.col("f.id")) & (far <= differing))
+    pairs = near.select("f", F.explode(F.array("head", "before")).alias("g")).where(F.col("g").isNotNull() & (F.col("g.id") != F.col("f.id")) & (far <= differing))
+    links = scratch.save(agreed(pairs, agreeing), "links")
+    # what is left: pairs of a bucket whose images are in different classes; its features are dealt into blocks
+    roots = components(links, scratch).select(F.col("v").alias("_v"), "root")
+    rows = rows.join(roots, F.col("f.id") == F.col("_v"), "left").select("f", "k", F.coalesce("root", "f.id").alias("root"))
+    several = rows.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
+    count = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = rows.join(several.select("k", "members"), "k").withColumn("own", F.pmod(F.xxhash64("f"), count).cast("int"))
+    dealt = scratch.save(dealt.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1))), "dealt")
+    x = dealt.select("k", "f", "root", F.col("own").alias("i"), F.col("other").alias("j"))
+    y = dealt.select(F.col("k").alias("_k"), F.col("f").alias("g"), F.col("root").alias("_root"), F.col("other").alias("_i"), F.col("own").alias("_j"))
+    met = [F.col("k") == F.col("_k"), F.col("i") == F.col("_i"), F.col("j") == F.col("_j")]
+    rest = x.join(y, [*met, F.col("root") != F.col("_root"), F.col("g.id") < F.col("f.id"), far <= differing]).select("f", "g")
+    return scratch.save(links.union(agreed(rest, agreeing)), "links")
+
+
+def agreed(pairs: DataFrame, agreeing: int) -> DataFrame:
+    """The pairs of images (a, b) of which `agreeing` distinct features, or more, vote for one shift, turn and scale. pairs: features (f, g)."""
     # two images need `agreeing` features in common before votes are made; one exchange by image pair serves all three steps
     pairs = pairs.select("f", "g", F.col("f.id").alias("b"), F.col("g.id").alias("a")).repartition("a", "b").dropDuplicates(["a", "b", "f", "g"])
     pairs = pairs.withColumn("common", F.count("*").over(Window.partitionBy("a", "b"))).where(F.col("common") >= agreeing)
@@ -199,7 +205,27 @@ def classes(media: DataFrame, key: str = "media_id", image: str = "image", diffe
     grid = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0.0, 0.5) for b in (0.0, 0.5)])).alias("grid")
     votes = pairs.select("b", "a", "f", F.floor(turn / 4).alias("turn"), F.round(F.log2(ratio) * 2).alias("zoom"), shift_row.alias("sr"), shift_col.alias("sc"), grid)
     votes = votes.groupBy("a", "b", "turn", "zoom", "grid", F.floor(F.col("sr") / 8 + F.col("grid.a")), F.floor(F.col("sc") / 8 + F.col("grid.b"))).agg(F.countDistinct("f.row", "f.col").alias("n"))
-    links = scratch.save(votes.where(F.col("n") >= agreeing).select("a", "b").distinct(), "links")
+    return votes.where(F.col("n") >= agreeing).select("a", "b").distinct()
+
+
+def classes(media: DataFrame, key: str = "media_id", image: str = "image", differing: int = 12, agreeing: int = 4) -> DataFrame:
+    """(key, n_features, class_id, n_links): images and the class of copies each belongs to, named by its smallest key.
+
+    Images of equal bytes are one. A feature meets, in each of four Hamming tables of 32-bit keys, its bucket's first
+    image and the one before it; then all pairs of a bucket whose images are in different classes meet, in blocks. Pairs of features that
+    differ in at most `differing` of 128 bits vote for a shift, turn and scale; images with `agreeing` distinct
+    features behind one of them are linked, and links form classes. Null images and bytes that aren't a binary PGM
+    have no features and, but for equal bytes, are classes of their own. Keys are longs; rows of one key and bytes
+    count once; a null key keeps its row and gets no class.
+    """
+    scratch = Scratch(media.sparkSession)
+    named = media.select(F.col(key).cast("long").alias(key), F.xxhash64(image, F.length(image)).alias("pixels"), F.col(image).isNotNull().alias("there"))
+    named = scratch.save(named, "named")
+    same = named.where(f"there AND `{key}` IS NOT NULL").groupBy("pixels").agg(F.min(key).alias("first"))
+    own = named.where("there").join(same, "pixels").where(F.col(key) == F.col("first")).select(key).distinct()
+    kept = media.select(F.col(key).cast("long").alias(key), image).join(own, key)
+    f = scratch.save(features(kept, key, image).withColumnRenamed(key, "id").distinct(), "features")
+    links = linked(f, differing, agreeing, scratch)
     roots = components(links, scratch)
     degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("n_links"))
     amount = f.groupBy(F.col("id").alias("v")).agg(F.count("*").alias("n_features"))

@@ -340,6 +340,26 @@ def test_image_copies(spark):
     assert media.classes(g.where("1 = 0")).count() == 0
 
 
+def test_copies_with_many_others_in_their_buckets(spark, monkeypatch):
+    monkeypatch.setattr(media, "BLOCK", 8)
+    rng = random.Random(15)
+    bits = [(rng.getrandbits(62), rng.getrandbits(62)) for _ in range(8)]  # all images have the same eight patterns, elsewhere
+    places = [[(rng.randrange(500), rng.randrange(500)) for _ in bits] for _ in range(12)]
+    copies = rng.sample(range(12), 12)
+    rows = [(i, *at, 0, 0, *d) for i, k in enumerate([*range(12), *copies]) for at, d in zip(places[k], bits)]
+    f = spark.createDataFrame(rows, f"id long, {media.FEATURES}")
+    got = {tuple(r) for r in media.linked(f, 12, 4, Scratch(spark)).collect()}
+    assert got == {(k, 12 + i) for i, k in enumerate(copies)}
+
+
+def test_crop_of_a_large_image(spark):
+    rng = np.random.default_rng(16)
+    large = np.kron(rng.integers(0, 256, (50, 50)), np.ones((8, 8))).astype(np.uint8)
+    images = [(1, media.to_pgm(large)), (2, media.to_pgm(large[200:300, 120:220])), (3, media.to_pgm(np.kron(rng.integers(0, 256, (12, 12)), np.ones((8, 8)))))]
+    got = {r.media_id: r.class_id for r in media.classes(spark.createDataFrame(images, "media_id long, image binary")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_pgm():
     x = np.arange(12, dtype=np.uint8).reshape(3, 4)
     assert (media.from_pgm(media.to_pgm(x)) == x).all() and (media.from_pgm(b"P5 # c\n4 3\n255\n" + x.tobytes()) == x).all()
