@@ -140,7 +140,7 @@ def page_text(spark, sf_dir):
 
 def json_repair(spark, sf_dir):
     """Event properties with a control character put in, repaired and parsed."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.concat(F.substring("props", 1, 1), F.lit("\x01"), F.substring("props", 2, 10_000)).alias("raw"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.concat(F.substring("props", 1, 1), F.lit("\x01"), F.substring("props", F.lit(2), F.length("props"))).alias("raw"))
     return e.select("event_id", F.get_json_object(tx.repaired_json(F.col("raw")), "$.k").cast("long").alias("k"))
 
 

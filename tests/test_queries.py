@@ -55,3 +55,11 @@ def test_partitions_do_not_matter(spark, name):
 
 def test_no_oracle_without_a_query():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def test_json_repair_of_long_properties(spark, tmp_path):
+    from tessera.plans import curation
+
+    props = '{"pad": "' + "x" * 20_000 + '", "k": 7}'
+    spark.createDataFrame([(1, props), (2, '{"k": 3}')], "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.event_id: r.k for r in curation.json_repair(spark, str(tmp_path)).collect()} == {1: 7, 2: 3}
