@@ -50,6 +50,12 @@ class Scratch:
             pass
 
 
+def fresh(df: DataFrame, n: int) -> list[str]:
+    """So many column names that a frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    return [f"tessera_{k}" for k in range(len(taken) + n) if f"tessera_{k}" not in taken][:n]
+
+
 def word_count(text: Column) -> Column:
     """How many words a text has; 0 for null."""
     return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long")
