@@ -314,11 +314,26 @@ def test_lines_equal_but_for_punctuation(spark):
     assert got == 4
 
 
-def test_dense_scales_of_signatures_meet():
-    for a in range(1, 400):
-        for b in range(a, 400):
-            if 100 * a >= 80 * b:
-                assert (a <= lines.SHORT and b <= lines.SHORT) or (100 * a >= 80 * (lines.SHORT + 1) and 100 * b >= 80 * (lines.SHORT + 1))
+def test_scales_of_signatures_meet(spark):
+    rng = random.Random(19)
+    letters = "abcdefghijklmnopqrstuvwxyz   "
+    rows = []
+    for i in range(600):
+        line = "".join(rng.choice(letters) for _ in range(rng.randrange(5, 160)))
+        at = rng.randrange(len(line))
+        rows += [(i, line), (i, line[:at] + rng.choice(letters) + line[at + 1 :]), (i, line + rng.choice(letters) * 3)]
+    d = spark.createDataFrame(rows, "i long, line string").select("i", lines.normal(F.col("line")).alias("norm"))
+    found, linked, missed = defaultdict(list), 0, 0
+    for r in lines.signed(d).select("*", *[lines.bands(F.col(s)).alias(f"b{s}") for s in lines.SCALES]).collect():
+        found[r.i].append(r)
+    for a, *others in found.values():
+        for b in others:
+            x, y = ({r.norm[k : k + 5] for k in range(len(r.norm) - 4)} or {r.norm} for r in (a, b))
+            if 100 * len(x & y) >= 80 * len(x | y):
+                linked += 1
+                assert any(a[s] and b[s] for s in lines.SCALES)
+                missed += not any(set(a[f"b{s}"]) & set(b[f"b{s}"]) for s in lines.SCALES)
+    assert linked > 500 and missed <= 0.02 * linked
 
 
 # op6
