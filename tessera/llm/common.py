@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,13 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def tidy(self, *tables: DataFrame) -> None:
+        """Removes these tables; and Spark's cleaner removes shuffle files of finished queries, which wait for the driver to collect its garbage."""
+        if tables:
+            self.drop(*tables)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Removes these tables, or all."""
         try:
