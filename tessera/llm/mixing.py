@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, running, word_count
 
 WEIGHTS = (5, 2, 1)
+#: A packet is at most this part of its source's target.
+PACKETS = 2000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, budget_percent: int = 150, repeat: int = 2) -> DataFrame:
@@ -36,36 +38,75 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget_percent: int = 150,
 def mix(docs: DataFrame, text: str = "text", weights=WEIGHTS, budget_percent: int = 150, repeat: int = 2, seed: str = "mix", rows_per_bucket: int = 20_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: how much of it each pass takes in a mix to target weights.
 
-    Every source's documents are shuffled by an MD5 of seed and doc_id and served in that order, over and over, up to
-    `repeat` passes. A copy's virtual start and finish are its source's cumulative words before and with it divided by
-    its target; ranged by finish, the mix is cut where the total budget is served, which is virtual time 1, and the
-    copy on the wire then is cut there. So each source ends within one word of its target.
+    Every source's documents are shuffled by an MD5 of seed and doc_id and queue up in that order, over and over, up to
+    `repeat` passes. A copy is sent in packets of at most 1 / PACKETS of its source's target, so a long document doesn't
+    hold up the others; in a large corpus nearly every copy is one packet. A packet's virtual finish is its source's
+    cumulative words with it, divided by the target. All packets are ranged and sorted by virtual finish, and what the
+    running sum of words leaves of the total budget is taken, the packet at the end in part. So each source ends within
+    a packet of its target, or a word where packets are smaller, and all sources together at the budget.
 
     Columns: doc_id, source, `keep`, size, source_size, target, virtual_start, virtual_finish (of the first pass),
     pass_words (array, a number for each pass), taken (their sum). Null text or no words: size 0, taken 0. Rows that
-    repeat a doc_id are documents of their own, and equal rows are interchangeable. An empty table gives no rows.
-    Hot sources are cut into buckets of the shuffle order, so no task sorts a whole source.
+    repeat a doc_id are documents of their own, and equal rows are interchangeable. Packets that finish at the same time
+    go by the shuffle's key, doc_id and source. An empty table gives no rows. Other columns aren't read. Hot sources
+    are cut into buckets of the shuffle order, so no task sorts a whole source.
     """
     scratch = Scratch(docs.sparkSession)
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    base = docs.select("doc_id", "source", *keep, word_count(F.col(text)).alias("size"), key.alias("_key"))
+    kept = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(0)
+    base = docs.select("doc_id", "source", kept.alias("kept"), word_count(F.col(text)).alias("size"), key.alias("key"))
     base = scratch.save(base, "sizes")
     digits = max(1, len(f"{max(1, base.count() // rows_per_bucket):x}"))
     targets = source_targets(base, weights, budget_percent, repeat)
-    base = base.withColumn("_bucket", F.substring("_key", 1, digits))
-    base = running(base, ["source"], "_bucket", [F.col("_key"), F.col("doc_id"), F.col("size")], F.col("size"), "_before")
-    t = targets.select(F.col("source").alias("_source"), "source_size", "target")
-    out = base.join(t, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-
-    def words(k: int):
-        room = F.floor(F.col("target")) - F.col("source_size") * k - F.col("_before")
-        return F.greatest(F.lit(0), F.least(F.col("size"), room)).cast("long")
-
-    out = out.withColumn("pass_words", F.array(*[words(k) for k in range(repeat)]))
-    out = out.withColumn("virtual_start", F.when(F.col("target") > 0, F.col("_before") / F.col("target")))
-    out = out.withColumn("virtual_finish", F.when(F.col("target") > 0, (F.col("_before") + F.col("size")) / F.col("target")))
-    out = out.withColumn("taken", F.aggregate("pass_words", F.lit(0).cast("long"), lambda a, x: a + x))
-    return out.select("doc_id", "source", *keep, "size", "source_size", "target", "virtual_start", "virtual_finish", "pass_words", "taken")
+    base = base.withColumn("bucket", F.substring("key", 1, digits))
+    base = running(base, ["source"], "bucket", [F.col("key"), F.col("doc_id"), F.col("size")], F.col("size"), "before")
+    t = targets.select(F.col("source").alias("of"), "source_size", "target")
+    queued = scratch.save(base.join(t, F.col("source").eqNullSafe(F.col("of")), "left").drop("of", "bucket"), "queued")
+    sent = cut(packets(queued.where("size > 0"), repeat), F.lit(budget_percent), repeat, queued, scratch)
+    same = ["doc_id", "source", "kept", "size", "source_size", "target", "before"]
+    by_pass = [F.sum(F.when(F.col("pass") == k, F.col("sent")).otherwise(0)).alias(f"pass{k}") for k in range(repeat)]
+    none = [F.lit(0).cast("long").alias(f"pass{k}") for k in range(repeat)]
+    # packets that come too late aren't made: every document has a row without one
+    idle = queued.where("size > 0").select(*same, F.lit(0).alias("pass"), F.lit(0).cast("long").alias("sent"))
+    out = sent.select(*same, "pass", "sent").union(idle).groupBy(*same).agg(*by_pass)
+    out = out.union(queued.where("size = 0").select(*same, *none))
+    passes = [F.col(f"pass{k}") for k in range(repeat)]
+    start, finish = F.col("before") / F.col("target"), (F.col("before") + F.col("size")) / F.col("target")
+    return out.select(
+        "doc_id", "source", *[F.col(f"kept.{c}").alias(c) for c in keep], "size", "source_size", "target",
+        F.when(F.col("target") > 0, start).alias("virtual_start"), F.when(F.col("target") > 0, finish).alias("virtual_finish"),
+        F.array(*passes).alias("pass_words"), sum(passes, F.lit(0).cast("long")).alias("taken"),
+    )
+
+
+def packets(queued: DataFrame, repeat: int) -> DataFrame:
+    """The packets (words, finish) of every copy that starts before virtual time 2.
+
+    At time 1 the budget is spent but for what the sources round down; at time 2 it is spent for sure, as every target
+    is half a word or more.
+    """
+    copies = queued.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1))))
+    copies = copies.withColumn("ahead", F.col("before") + F.col("source_size") * F.col("pass")).where(F.col("ahead") < 2 * F.col("target"))
+    n = F.least(F.col("size"), F.ceil(F.col("size").cast("double") * PACKETS / F.col("target")))
+    parts = copies.withColumn("n", n.cast("long")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    upto = lambda k: F.expr(f"size * (part + {k}) div n")
+    return parts.select("*", (upto(1) - upto(0)).alias("words"), ((F.col("ahead") + upto(1)) / F.col("target")).alias("finish")).drop("n")
+
+
+def cut(queue: DataFrame, budget_percent: Column, repeat: int, queued: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds `sent`: what of each packet goes before the budget ends, in the order of all packets' virtual finish."""
+    order = ["finish", "key", "doc_id", "source", "ahead", "part"]
+    # saved, so that sums and rows see the same ranges
+    ranged = scratch.save(queue.repartitionByRange(*order).withColumn("range", F.spark_partition_id()).sortWithinPartitions(*order), "ranged")
+    # a row for each range, which is one task of the sort, and for each source
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("range").agg(F.sum("words").alias("all")).select("range", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("start"))
+    total = queued.agg(F.sum("size").alias("total")).select(F.floor(F.least(F.col("total") * budget_percent / 100, F.col("total") * repeat)).alias("budget"))
+    starts = starts.join(F.broadcast(total))
+    within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.withColumn("inner", F.coalesce(F.sum("words").over(within), F.lit(0))).join(starts, "range")
+    room = F.col("budget") - F.col("start") - F.col("inner")
+    return out.withColumn("sent", F.greatest(F.lit(0), F.least(F.col("words"), room)).cast("long"))
 
 
 def schedule(mixed: DataFrame) -> DataFrame:
@@ -102,9 +143,21 @@ ORACLE = r"""
         SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size
                                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
         FROM d
+    ), q AS (
+        SELECT c.*, t.source_size, t.target, row_number() OVER () AS id FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
+    ), p AS (
+        SELECT *, least(size, ceil(size::DOUBLE * 2000 / target)::BIGINT) AS n, before + source_size * pass AS ahead
+        FROM q, range(2) r(pass) WHERE size > 0 AND before + source_size * pass < 2 * target
+    ), w AS (
+        SELECT *, size * (part + 1) // n - size * part // n AS words, (ahead + size * (part + 1) // n) / target AS finish
+        FROM (SELECT *, unnest(range(n)) AS part FROM p)
+    ), f AS (
+        SELECT id, words, (SELECT floor(least(sum(size) * 150 / 100, sum(size) * 2))::BIGINT FROM d)
+               - coalesce(sum(words) OVER (ORDER BY finish, k, doc_id NULLS FIRST, source NULLS FIRST, ahead, part
+                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room
+        FROM w
+    ), s AS (
+        SELECT id, sum(greatest(0, least(words, room)))::BIGINT AS taken FROM f GROUP BY id
     )
-    SELECT c.doc_id, c.size, t.source_size, t.target,
-           greatest(0, least(c.size, floor(t.target)::BIGINT - c.before))
-             + greatest(0, least(c.size, floor(t.target)::BIGINT - t.source_size - c.before)) AS taken
-    FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
+    SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM q LEFT JOIN s USING (id)
 """

@@ -426,6 +426,37 @@ def filled(sizes, weights, budget):
     return target
 
 
+def brute_mix(rows):
+    """What each document gives, word by word: all words of all copies by virtual finish, up to the budget (small sources: a packet is a word)."""
+    key = lambda r: (hashlib.md5(("mix" + ("null" if r[0] is None else str(r[0]))).encode()).hexdigest(), -1 if r[0] is None else r[0], len(words(r[1])))
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(words(r[1]))
+    target = filled(sizes, mixing.WEIGHTS, 1.5 * sum(sizes.values()))
+    queue, taken = [], Counter()
+    for s in sizes:
+        before = 0
+        for n, r in enumerate(sorted((r for r in rows if r[3] == s), key=key)):
+            size = len(words(r[1]))
+            for k in range(2):
+                queue += [((before + w + 1 + k * sizes[s]) / target[s], *key(r)[:2], "" if s is None else "x" + s, before + k * sizes[s], w, (s, n)) for w in range(size)]
+            before += size
+            taken[(s, n)] += 0
+    for q in sorted(queue)[: int(1.5 * sum(sizes.values()))]:
+        taken[q[-1]] += 1
+    order = {s: sorted((r for r in rows if r[3] == s), key=key) for s in sizes}
+    return [(order[s][n][0], len(words(order[s][n][1])), x) for (s, n), x in taken.items()]
+
+
+def test_packets_of_long_documents(spark):
+    rows = [(i, "w " * 6000, None, "ab"[i % 2], None) for i in range(4)] + [(10 + i, "w " * 50, None, "a", None) for i in range(20)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+    assert all(abs(taken[r.source] - r.target) <= max(1, r.target / mixing.PACKETS) + 1 for r in got) and sum(taken.values()) == int(1.5 * 25_000)
+
+
 def test_mix(spark, odd):
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.randrange(40)), None, rng.choice(["a", "b", "c", "d", "é", None, ""]), None) for i in range(300)] + odd_docs(rng)
@@ -439,11 +470,14 @@ def test_mix(spark, odd):
     for r in got:
         assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 and 0 <= r.taken <= 2 * r.size
         taken[r.source] += r.taken
-    assert all(0 <= want[s] - taken[s] < 1 for s in sizes)
+    assert all(abs(want[s] - taken[s]) <= 1 for s in sizes) and sum(taken.values()) == int(1.5 * sum(sizes.values()))
     again = mixing.mix(d.repartition(5), rows_per_bucket=20).collect()
     assert Counter((r.doc_id, r.taken, r.size) for r in got) == Counter((r.doc_id, r.taken, r.size) for r in again)
     order = [r.finish for r in mixing.schedule(mixing.mix(d)).collect()]
     assert order == sorted(order)
+    assert {(r.doc_id, r.size, r.taken) for r in got} == {(i, size, n) for i, size, n in brute_mix(rows)}
+    plan = mixing.packets(d.limit(0).select("doc_id", F.lit(1).alias("size"), F.lit(0).alias("before"), F.lit(1).alias("source_size"), F.lit(1.0).alias("target")), 2)
+    assert plan.count() == 0
 
 
 def test_mix_of_nothing(spark, odd):
