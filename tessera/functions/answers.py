@@ -166,7 +166,8 @@ def chosen_option(c: Column, options: Column, letters: str = "ABCD") -> Column:
     last = lambda what: F.length(padded) - F.length(F.substring_index(padded, what, -1))
     at = lambda form: F.array(*[F.struct(F.when(padded.contains(form(x)), last(form(x))).alias("at"), F.lit(x).alias("letter")) for x in letters])
     best = lambda xs: F.array_max(F.filter(xs, lambda s: s["at"].isNotNull()))["letter"]
-    texts = F.filter(F.transform(options, lambda o, i: F.struct(F.when(F.contains(F.lower(padded), F.lower(o)), F.position(F.lower(o), F.lower(padded))).alias("at"), F.substring(F.lit(letters), i + 1, F.lit(1)).alias("letter"))), lambda s: s["at"].isNotNull())
+    place = lambda o: F.length(padded) - F.length(F.element_at(F.split(F.lower(padded), F.concat(F.lit(r"\Q"), F.lower(o), F.lit(r"\E"))), -1))
+    texts = F.filter(F.transform(options, lambda o, i: F.struct(F.when(F.contains(F.lower(padded), F.lower(o)), place(o)).alias("at"),F.substring(F.lit(letters), i + 1, F.lit(1)).alias("letter"))), lambda s: s["at"].isNotNull())
     long = F.size(F.split(padded, r"\s+")) - 2 > 5
     return F.coalesce(best(at(lambda x: f"({x})")), best(at(lambda x: f" {x} ")), F.when(long, F.array_max(texts)["letter"]))
 
@@ -205,9 +206,10 @@ def best_choice(logprobs: Column, penalty: Column | None = None) -> Column:
     return -F.array_max(scores)["i"]
 
 
-def greedy_choice(logprobs: Column, longest: int = 64) -> Column:
-    """Compares choices token by token, shorter ones going on with their mean; the first best stays."""
+def greedy_choice(logprobs: Column) -> Column:
+    """Compares choices token by token, shorter ones going on with their mean up to the longest one's length; the first best stays."""
     mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
+    longest = F.array_max(F.transform(logprobs, F.size))
     filled = F.transform(logprobs, lambda xs, i: F.struct(F.concat(xs, F.array_repeat(mean(xs), F.greatest(F.lit(0), longest - F.size(xs)))).alias("s"), (-i).alias("i")))
     return -F.array_max(filled)["i"]
 

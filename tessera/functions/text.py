@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = r"[\p{L}\p{N}_]"
-SPACE = r"(?U)[\s\x1c-\x1f]"
+SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Where a word begins or ends.
 EDGE_BEFORE, EDGE_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
@@ -70,8 +70,9 @@ def to_halfwidth(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Zero-width and no-break spaces as spaces, runs of white space as one space, ends stripped."""
-    plain = F.translate(c, "​ ", "  ")
-    return F.regexp_replace(F.regexp_replace(plain, f"{SPACE}+", " "), "^ | $", "")
+    run = rf"[{SPACE}\x{{200b}}]"
+    # single spaces, which most runs are, need no replacement
+    return F.trim(F.regexp_replace(c, rf"{run}(?:{run}+|(?<! ))", " "))
 
 
 def normalize_text(c: Column) -> Column:
@@ -85,7 +86,7 @@ def strip(c: Column) -> Column:
 
 def script_ratio(c: Column, script: str = "han") -> Column:
     """Share of a text's code points in a script; 0 for an empty text."""
-    kept = F.regexp_replace(c, f"[^{SCRIPTS[script]}]", "")
+    kept = F.regexp_replace(c, f"[^{SCRIPTS[script]}]+", "")
     return F.length(kept) / F.greatest(F.lit(1), F.length(c))
 
 
@@ -103,7 +104,7 @@ def length_ok(c: Column, least: int, most: int, stripped: bool = False) -> Colum
 
 
 def url_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(URL))
+    return F.when(c.isNull() | c.contains("://"), F.regexp_count(c, F.lit(URL))).otherwise(0)
 
 
 def too_many_urls(c: Column, most: int = 2) -> Column:
@@ -111,17 +112,33 @@ def too_many_urls(c: Column, most: int = 2) -> Column:
 
 
 def has_pii(c: Column) -> Column:
-    out = F.lit(False)
-    for p in PERSONAL:
-        out = out | c.rlike(p)
-    return out
+    """A mobile number, an address with @ or an identity number; cheap tests come before the patterns that need them."""
+    phone, email, identity = PERSONAL
+    return (c.contains("@") & c.rlike(email)) | (c.rlike(r"\p{Nd}{11}") & (c.rlike(phone) | c.rlike(identity)))
+
+
+def first_letters(pattern: str) -> str | None:
+    """The characters that a match of a pattern can begin with, as a class's inside; None unless every alternative begins with a letter."""
+    folded = pattern.startswith("(?i)")
+    depth, parts, body = 0, [""], pattern.removeprefix("(?i)")
+    for ch in body:
+        depth += (ch == "(") - (ch == ")")
+        if ch == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += ch
+    if not all(p and p[0].isalpha() and p[1:2] not in ("?", "*", "{") for p in parts):
+        return None
+    return "".join(p[0].lower() + p[0].upper() if folded else p[0] for p in parts)
 
 
 def matches_any(c: Column, patterns=REFUSALS) -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out = out | c.rlike(f"(?d){p}")
-    return out
+    """Whether one of the patterns is found: all in one pass, which tries them only where one can begin."""
+    if not patterns:
+        return F.lit(False)
+    firsts = [first_letters(p) for p in patterns]
+    ahead = "" if None in firsts else f"(?=[{''.join(firsts)}])"
+    return c.rlike(f"(?d){ahead}(?:{'|'.join(f'(?:{p})' for p in patterns)})")
 
 
 def fingerprint(c: Column) -> Column:

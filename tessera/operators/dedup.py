@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.operators.shared import checkpointed
 
 
 def first_wins(df: DataFrame, key: Column, *order) -> DataFrame:
@@ -24,32 +28,48 @@ def unseen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 def simhash(df: DataFrame, id: str, text: str) -> DataFrame:
     """(id, sig): 64-bit simhash of lower-cased words, each by the low 64 bits of its MD5; ties and empty texts give ones.
 
-    A word's votes are 64 sums that combine on the map side; nothing but built-in functions runs.
+    A row's signature needs its own text alone, so nothing is shuffled: an Arrow function hashes the distinct words of
+    a batch once and sums their votes as a product of matrices.
     """
-    words = df.select(id, F.explode_outer(tx.tokens(F.col(text))).alias("w"))
-    part = lambda at: F.conv(F.substring(F.md5("w"), at, 8), 16, 10).cast("long")
-    words = words.select(id, part(17).alias("hi"), part(25).alias("lo"))
-    vote = lambda i: F.when(F.shiftright(F.col("hi" if i >= 32 else "lo"), i % 32).bitwiseAND(1) == 1, 1).when(F.col("lo").isNotNull(), -1).otherwise(0)
-    sums = words.groupBy(id).agg(*[F.sum(vote(i)).alias(f"b{i}") for i in range(64)])
-    sig = F.lit(0).cast("long")
-    for i in range(64):
-        sig = sig.bitwiseOR(F.when(F.col(f"b{i}") >= 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return sums.select(id, sig.alias("sig"))
 
+    def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for b in batches:
+            out = np.empty(len(b), np.int64)
+            for at, words in enumerate(b["words"]):
+                if len(known) > 200_000:
+                    known.clear()
+                h = np.array([known.get(w) or known.setdefault(w, int.from_bytes(hashlib.md5(w.encode()).digest()[8:], "big")) for w in (() if words is None else words)], np.uint64)
+                ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                out[at] = np.packbits(2 * ones >= len(h), bitorder="little").view(np.int64)[0]
+            yield pd.DataFrame({id: b[id], "sig": out})
 
-def bands(sigs: DataFrame, id: str, group: list[str], bands: int = 4) -> DataFrame:
-    width = 64 // bands
-    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("sig", width * b).bitwiseAND((1 << width) - 1).alias("v")) for b in range(bands)])
-    return sigs.select(id, *group, "sig", F.explode(keys).alias("k")).select(id, *group, "sig", "k.band", "k.v")
+    words = df.select(id, tx.tokens(F.col(text)).alias("words"))
+    return words.mapInPandas(signatures, f"`{id}` {dict(df.dtypes)[id]}, sig long")
+
+
+def bands(sigs: DataFrame, most: int = 3) -> DataFrame:
+    """Adds a row for each two of `most` + 2 parts of a signature: signatures that differ in at most `most` bits are equal in two parts at least.
+
+    Two parts are 25 of the 64 bits, by default, so a bucket holds few others even in a large corpus.
+    """
+    n = most + 2
+    edges = [64 * k // n for k in range(n + 1)]
+    part = lambda k: F.shiftrightunsigned("sig", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1))
+    keys = [F.struct(F.lit(i * n + j).alias("band"), F.shiftleft(part(i), 32).bitwiseOR(part(j)).alias("v")) for j in range(n) for i in range(j)]
+    return sigs.withColumn("k", F.explode(F.array(*keys))).select(*sigs.columns, "k.band", "k.v")
 
 
 def near_pairs(sigs: DataFrame, id: str = "doc_id", group: tuple[str, ...] = (), most: int = 3) -> DataFrame:
-    """(a, b): a < b share a band and differ in at most `most` bits."""
-    keyed = bands(sigs, id, list(group))
-    x = keyed.withColumnRenamed(id, "a").withColumnRenamed("sig", "sig_a")
-    y = keyed.withColumnRenamed(id, "b").withColumnRenamed("sig", "sig_b")
-    close = (F.col("a") < F.col("b")) & (tx.hamming(F.col("sig_a"), F.col("sig_b")) <= most)
-    return x.join(y, [*group, "band", "v"]).where(close).select("a", "b").distinct()
+    """(a, b): a < b whose signatures differ in at most `most` bits. Distinct signatures are met first, then their ids."""
+    kinds = bands(sigs.select(*group, "sig").distinct(), most)
+    x, y = kinds.withColumnRenamed("sig", "sig_a"), kinds.withColumnRenamed("sig", "sig_b")
+    close = (F.col("sig_a") < F.col("sig_b")) & (tx.hamming(F.col("sig_a"), F.col("sig_b")) <= most)
+    met = x.join(y, [*group, "band", "v"]).where(close).select(*group, "sig_a", "sig_b").distinct()
+    both = met.union(met.select(*group, F.col("sig_b").alias("sig_a"), F.col("sig_a").alias("sig_b")))
+    both = both.union(sigs.select(*group, F.col("sig").alias("sig_a"), F.col("sig").alias("sig_b")).distinct())
+    named = lambda s, as_: sigs.select(*group, F.col("sig").alias(s), F.col(id).alias(as_))
+    return both.join(named("sig_a", "a"), [*group, "sig_a"]).join(named("sig_b", "b"), [*group, "sig_b"]).where("a < b").select("a", "b").distinct()
 
 
 def greedy_survivors(ids: DataFrame, pairs: DataFrame, id: str = "doc_id", rounds: int = 1000) -> DataFrame:
@@ -58,21 +78,15 @@ def greedy_survivors(ids: DataFrame, pairs: DataFrame, id: str = "doc_id", round
     Each round settles every id all of whose smaller neighbours are settled, so the number of rounds is the longest
     chain, and each is one join. Lineage is cut by checkpoints in the shared folder.
     """
-    sc = ids.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        base = sc.getConf().get("spark.checkpoint.dir", None)
-        if base is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="tessera-"))
     # ids without smaller neighbours are kept at once
     state = ids.select(F.col(id).alias("v")).distinct().join(pairs.select(F.col("b").alias("v")).distinct().withColumn("open", F.lit(True)), "v", "left")
-    state = state.select("v", F.when(F.col("open"), F.lit(0)).otherwise(F.lit(1)).alias("s")).checkpoint()
-    pairs = pairs.checkpoint()
+    state = state.select("v", F.when(F.col("open"), F.lit(0)).otherwise(F.lit(1)).alias("s"))
+    state, pairs = checkpointed(state), checkpointed(pairs)
     for _ in range(rounds):
         seen = pairs.join(state.withColumnRenamed("v", "a"), "a").groupBy("b").agg(F.max(F.col("s") == 1).alias("beaten"), F.max(F.col("s") == 0).alias("waits"))
         joined = state.join(seen.withColumnRenamed("b", "v"), "v", "left")
         new = F.when(F.col("s") != 0, F.col("s")).when(F.col("beaten"), 2).when(~F.col("waits"), 1).otherwise(0)
-        state = joined.select("v", new.alias("s")).checkpoint()
+        state = checkpointed(joined.select("v", new.alias("s")))
         if state.where("s = 0").isEmpty():
             return state.where("s = 1").select(F.col("v").alias(id))
     raise RuntimeError(f"unsettled after {rounds} rounds")

@@ -15,10 +15,12 @@ def judged(
     """Adds ins_norm, in_norm, out_norm and reject_reason: empty, ratio, length, pattern, urls, pii, or null.
 
     Rules are tried in that order, the cheap ones first. The input is checked only if it isn't empty, unless
-    `optional_input` is off. Patterns apply to the output alone. `normalise` is computed once, in a projection of its own.
+    `optional_input` is off. Patterns apply to the output alone. `normalise` is computed once: what a generator makes
+    isn't repeated in the rules and filters above it.
     """
     col = lambda name: normalise(F.coalesce(F.col(name), F.lit(""))) if name else F.lit("")
-    df = df.withColumns({"ins_norm": col(instruction), "in_norm": col(input), "out_norm": col(output)})
+    norms = F.struct(col(instruction).alias("ins_norm"), col(input).alias("in_norm"), col(output).alias("out_norm"))
+    df = df.select("*", F.inline(F.array(norms)))
     ins, inp, out = F.col("ins_norm"), F.col("in_norm"), F.col("out_norm")
     asked = (F.length(inp) > 0) if optional_input else F.lit(True)
     parts = [(out, lengths[2], F.lit(True))]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import heapq
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,11 +38,25 @@ def longest_prefix(queries: DataFrame, stored: DataFrame, id: str, key: str, pag
     """(id, matched, stored_id): the stored key that shares the longest prefix, in whole pages; ties to the smaller id.
 
     Both sides become rows of page-aligned prefixes, met by equality of hash and length, so no pair of keys is compared
-    that shares no page. A stored prefix is kept once.
+    that shares no page. A stored prefix is kept once. A prefix's 128-bit hash is chained from its pages' hashes, so a
+    key is read once, whatever its length.
     """
+
+    def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids, places, hashes = [], [], []
+            for i, text in zip(b[id], b[key]):
+                h = hashlib.blake2b(digest_size=16)
+                for k in range(len(text) // page):
+                    h.update(text[k * page : (k + 1) * page].encode("utf-8", "surrogatepass"))
+                    ids.append(i)
+                    places.append(k + 1)
+                    hashes.append(h.digest())
+            yield pd.DataFrame({id: ids, "k": places, "h": hashes})
+
     def prefixes(df: DataFrame) -> DataFrame:
-        n = F.floor(F.length(key) / page).cast("int")
-        return df.where(n > 0).select(id, F.explode(F.sequence(F.lit(1), n)).alias("k"), key).select(id, "k", F.md5(F.substring(key, F.lit(1), F.col("k") * page)).alias("h"))
+        kind = dict(df.dtypes)[id]
+        return df.where(F.length(key) >= page).select(id, key).mapInPandas(chained, f"`{id}` {kind}, k int, h binary")
 
     kept = prefixes(stored).groupBy("k", "h").agg(F.min(id).alias("stored_id"))
     found = prefixes(queries).join(kept, ["k", "h"]).groupBy(id).agg(F.max(F.struct(F.col("k"), (-F.col("stored_id")).alias("s"))).alias("b"))
@@ -58,12 +76,13 @@ def balanced_packs(df: DataFrame, layer: str, item: str, weight: str, packs: int
     """Heaviest item first into the lightest pack that isn't full; each pack gets as many items. A layer's items are a bounded list, handled in one task."""
     def pack(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values([weight, item], ascending=[False, True])
-        most, load, held, out = -(-len(t) // packs), [0.0] * packs, [0] * packs, []
+        room, out = -(-len(t) // packs), []
+        open_ = [(0.0, p, 0) for p in range(packs)]  # load, pack, items
         for w in t[weight]:
-            k = min((p for p in range(packs) if held[p] < most), key=lambda p: (load[p], p))
-            load[k] += w
-            held[k] += 1
-            out.append((k, held[k] - 1))
+            load, p, n = heapq.heappop(open_)
+            out.append((p, n))
+            if n + 1 < room:
+                heapq.heappush(open_, (load + w, p, n + 1))
         return t.assign(pack=[k for k, _ in out], place=[p for _, p in out])
 
     return df.groupBy(layer).applyInPandas(pack, df.schema.simpleString()[7:-1].replace(":", " ") + ", pack int, place int")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import dedup, mix, quality
+from tessera.operators.shared import checkpointed
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +97,7 @@ def near_dup_pairs(spark, sf_dir):
 
 
 def near_dup_survivors(spark, sf_dir):
-    sigs = dedup.simhash(_unique(spark, sf_dir), "doc_id", "text").checkpoint() if spark.sparkContext.getCheckpointDir() else dedup.simhash(_unique(spark, sf_dir), "doc_id", "text").persist()
+    sigs = checkpointed(dedup.simhash(_unique(spark, sf_dir), "doc_id", "text"))
     return dedup.greedy_survivors(sigs, dedup.near_pairs(sigs))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import latency, ranking
+from tessera.operators import chains, latency, ranking
+from tessera.operators.sequence import running_sum
 
 
 def _events(spark, sf_dir):
@@ -104,14 +105,10 @@ def prefix_schedule(spark, sf_dir):
 
 
 def redirect_chain(spark, sf_dir):
-    """Links from each line to another, followed to their end; lines on or into a ring are marked. Pointer doubling, so few joins."""
+    """Links from each line to another, followed to their end."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    g = d.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.col("doc_id")).otherwise(F.floor(F.col("doc_id") / 2)).alias("to")).select("doc_id", F.least("to", "doc_id").cast("long").alias("to"))
-    hops = g.select("doc_id", "to", (F.col("to") != F.col("doc_id")).cast("int").alias("hops"))
-    for _ in range(5):
-        nxt = hops.select(F.col("doc_id").alias("to"), F.col("to").alias("then"), F.col("hops").alias("more"))
-        hops = hops.join(nxt, "to", "left").select("doc_id", F.coalesce("then", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
-    return hops.groupBy("hops").agg(F.count("*").alias("n"), F.countDistinct("to").alias("ends"))
+    g = d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 0, F.col("doc_id")).otherwise(F.floor(F.col("doc_id") / 2)).cast("long").alias("to"))
+    return chains.resolved(g).groupBy("hops").agg(F.count("*").alias("n"), F.countDistinct("end").alias("ends"))
 
 
 def scatter_add(spark, sf_dir):
@@ -131,8 +128,7 @@ def tenant_sizes(spark, sf_dir):
 def lru_eviction(spark, sf_dir):
     """Entries least lately used, until a number of characters is freed."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars", F.md5(F.col("doc_id").cast("string")).alias("used"))
-    before = F.coalesce(F.sum("n_chars").over(Window.orderBy("used", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return d.withColumn("before", before).where("before < 50000").select("doc_id", "n_chars")
+    return running_sum(d, ["used", "doc_id"], "n_chars", "upto").where("upto - n_chars < 50000").select("doc_id", "n_chars")
 
 
 def expert_packing(spark, sf_dir):

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import ast
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.functions import text as tx
+from tessera.operators import dedup
+from tessera.operators.sequence import numbered
 
 TRIPLE = "instruction string, input string, output string"
 CHATML = "text string"
@@ -37,8 +45,8 @@ def tagged_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Trimmed lines that aren't blank."""
-    return spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''")
+    """Lines stripped of white space of any kind that aren't blank."""
+    return spark.read.text(path).select(tx.strip(F.col("value")).alias("line")).where("line <> ''")
 
 
 def csv(spark: SparkSession, path: str, schema: str, header: bool = True, sep: str = ",") -> DataFrame:
@@ -70,10 +78,25 @@ def alternating(spark: SparkSession, path: str) -> DataFrame:
     return d.select(F.transform(at, lambda i: F.struct(F.get("data", i).alias("user"), F.get("data", i + 1).alias("assistant"))).alias("turns"))
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("Q", T.StringType()), T.StructField("A", T.StringType())])))
+def _literal_pairs(s: pd.Series) -> pd.Series:
+    def read(text):
+        try:
+            found = ast.literal_eval(text)
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            return None
+        if not isinstance(found, list):
+            return None
+        part = lambda x, k: None if x.get(k) is None else str(x[k])
+        return [{"Q": part(x, "Q"), "A": part(x, "A")} for x in found if isinstance(x, dict)]
+
+    return s.map(read, na_action="ignore")
+
+
 def question_lists(spark: SparkSession, path: str) -> DataFrame:
-    """(task, input, question, answer): question lists kept as text; without one, a summary whose answer is the input's first 1,024 characters."""
+    """(task, input, question, answer): question lists kept as Python literals; without one, or if it doesn't parse, a summary whose answer is the input's first 1,024 characters."""
     d = json_lines(spark, path, "input string, qa_pairs string")
-    pairs = F.from_json(F.translate("qa_pairs", "'", '"'), "array<struct<Q:string,A:string>>")
+    pairs = _literal_pairs(F.col("qa_pairs"))
     d = d.withColumn("pairs", F.when(~F.lower(F.coalesce("qa_pairs", F.lit("none"))).isin("none", ""), pairs))
     summary = F.array(F.struct(F.lit(None).cast("string").alias("Q"), F.substring("input", 1, 1024).alias("A")))
     d = d.withColumn("task", F.when(F.size("pairs") > 0, "question").otherwise("summary"))
@@ -117,19 +140,22 @@ def write_conversations(df: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
-def append_unseen(df: DataFrame, path: str, key: str) -> None:
-    """Appends rows whose key the sink doesn't hold yet, one of each; running it again adds nothing."""
+def append_unseen(df: DataFrame, path: str, key: str, order: tuple[str, ...] = ()) -> None:
+    """Appends rows whose key the sink doesn't hold yet, of each the first in order (by default, of its columns as JSON); running it again adds nothing."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         df = df.join(spark.read.schema(df.schema).parquet(path).select(key), key, "left_anti")
-    df.dropDuplicates([key]).write.mode("append").parquet(path)
+    first = dedup.first_wins(df, F.col(key), *(order or (F.to_json(F.struct(*df.columns)),)))
+    first.write.mode("append").parquet(path)
 
 
-def write_banners(df: DataFrame, text: str, path: str) -> None:
-    """A text file with a numbered banner before each row."""
-    df.select(F.format_string("%s\n%s", F.lit("=" * 40), F.col(text)).alias("value")).write.mode("overwrite").text(path)
+def write_banners(df: DataFrame, text: str, path: str, order: list[str] | None = None) -> None:
+    """A text file with a banner before each row that gives its number, from 1, in order (by default, of the text)."""
+    rows = numbered(df, order or [text], "_number", start=1)
+    rows = rows.select(F.format_string("%s %d\n%s", F.lit("=" * 40), F.col("_number"), F.coalesce(F.col(text), F.lit(""))).alias("value"), "_number")
+    rows.repartitionByRange("_number").sortWithinPartitions("_number").select("value").write.mode("overwrite").text(path)
 
 
 def write_batch(df: DataFrame, path: str) -> dict[str, int]:
@@ -146,11 +172,12 @@ def run_summary(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def report(df: DataFrame, title: str, most: int = 1000) -> str:
-    """HTML of at most so many rows of results."""
+def report(df: DataFrame, title: str, most: int | None = None) -> str:
+    """HTML of the rows of results, all of them unless `most` is given, and then how many more there are. For results of a size that the driver can hold."""
     import html
 
-    rows = df.limit(most).collect()
+    rows = [r for r in (df.limit(most + 1) if most is not None else df).toLocalIterator()]
     head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-    body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in rows)
-    return f"<h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>"
+    body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in rows[:most])
+    more = f"<p>{df.count() - most} more rows</p>" if most is not None and len(rows) > most else ""
+    return f"<h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>{more}"
