@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, running, word_count
@@ -62,7 +62,7 @@ def mix(docs: DataFrame, text: str = "text", weights=WEIGHTS, budget_percent: in
     base = running(base, ["source"], "bucket", [F.col("key"), F.col("doc_id"), F.col("size")], F.col("size"), "before")
     t = targets.select(F.col("source").alias("of"), "source_size", "target")
     queued = scratch.save(base.join(t, F.col("source").eqNullSafe(F.col("of")), "left").drop("of", "bucket"), "queued")
-    sent = cut(packets(queued.where("size > 0"), repeat), F.lit(budget_percent), repeat, queued, scratch)
+    sent = cut(packets(queued.where("size > 0"), repeat), budget_percent, repeat, queued, scratch)
     same = ["doc_id", "source", "kept", "size", "source_size", "target", "before"]
     by_pass = [F.sum(F.when(F.col("pass") == k, F.col("sent")).otherwise(0)).alias(f"pass{k}") for k in range(repeat)]
     none = [F.lit(0).cast("long").alias(f"pass{k}") for k in range(repeat)]
@@ -93,7 +93,7 @@ def packets(queued: DataFrame, repeat: int) -> DataFrame:
     return parts.select("*", (upto(1) - upto(0)).alias("words"), ((F.col("ahead") + upto(1)) / F.col("target")).alias("finish")).drop("n")
 
 
-def cut(queue: DataFrame, budget_percent: Column, repeat: int, queued: DataFrame, scratch: Scratch) -> DataFrame:
+def cut(queue: DataFrame, budget_percent: int, repeat: int, queued: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds `sent`: what of each packet goes before the budget ends, in the order of all packets' virtual finish."""
     order = ["finish", "key", "doc_id", "source", "ahead", "part"]
     # saved, so that sums and rows see the same ranges
@@ -101,11 +101,10 @@ def cut(queue: DataFrame, budget_percent: Column, repeat: int, queued: DataFrame
     # a row for each range, which is one task of the sort, and for each source
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("range").agg(F.sum("words").alias("all")).select("range", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("start"))
-    total = queued.agg(F.sum("size").alias("total")).select(F.floor(F.least(F.col("total") * budget_percent / 100, F.col("total") * repeat)).alias("budget"))
-    starts = starts.join(F.broadcast(total))
+    total = queued.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = ranged.withColumn("inner", F.coalesce(F.sum("words").over(within), F.lit(0))).join(starts, "range")
-    room = F.col("budget") - F.col("start") - F.col("inner")
+    room = min(total * budget_percent // 100, total * repeat) - F.col("start") - F.col("inner")
     return out.withColumn("sent", F.greatest(F.lit(0), F.least(F.col("words"), room)).cast("long"))
 
 
