@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -168,33 +168,50 @@ def features(media: DataFrame, key: str, image: str) -> DataFrame:
 def linked(f: DataFrame, differing: int, agreeing: int, scratch: Scratch) -> DataFrame:
     """The pairs of images (a, b) that features (id, row, col, level, angle, d0, d1) link, but for those within a class that others join."""
     part = lambda w, k: F.shiftrightunsigned(w, 32 * k).bitwiseAND(F.lit(0xFFFFFFFF))
-    keys = F.array(*[F.struct(F.lit(i).alias("t"), part(F.col(f"d{i // 2}"), i % 2).alias("v")) for i in range(TABLES)])
-    rows = f.select(F.struct("id", "row", "col", "level", "angle", "d0", "d1").alias("f"), F.explode(keys).alias("k"))
-    w = Window.partitionBy("k.t", "k.v").orderBy("f")
-    near = rows.withColumn("head", F.first("f").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.lag("f").over(w))
-    far = F.bit_count(F.col("f.d0").bitwiseXOR(F.col("g.d0"))) + F.bit_count(F.col("f.d1").bitwiseXOR(F.col("g.d1")))
+    # a table's number and 32 bits of the descriptor in one long; a feature's place, level and angle in another
+    keys = F.array(*[part(F.col(f"d{i // 2}"), i % 2).bitwiseOR(F.lit(i << 32)) for i in range(TABLES)])
+    row, col = (F.shiftleft(F.col(c).cast("long"), by) for c, by in (("row", 27), ("col", 7)))
+    at = row.bitwiseOR(col).bitwiseOR(F.shiftleft(F.col("level").cast("long"), 5)).bitwiseOR(F.col("angle").cast("long"))
+    rows = f.select("id", at.alias("at"), "d0", "d1", F.explode(keys).alias("k"))
+    # neighbours in a bucket by descriptor, so that those of few differing bits are often next to each other
+    w = Window.partitionBy("k").orderBy("d0", "d1", "id", "at")
+    held = F.struct("id", "at", "d0", "d1")
+    near = rows.withColumn("head", F.first(held).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.lag(held).over(w))
+    far = lambda x, y: F.bit_count(F.col(f"{x}d0").bitwiseXOR(F.col(f"{y}d0"))) + F.bit_count(F.col(f"{x}d1").bitwiseXOR(F.col(f"{y}d1")))
     # compared where they meet: most features that share a key are far apart
-    pairs = near.select("f", F.explode(F.array("head", "before")).alias("g")).where(F.col("g").isNotNull() & (F.col("g.id") != F.col("f.id")) & (far <= differing))
-    links = scratch.save(agreed(pairs, agreeing), "links")
+    pairs = near.select("id", "at", "d0", "d1", F.explode(F.array("head", "before")).alias("g")).where(F.col("g").isNotNull() & (F.col("g.id") != F.col("id")) & (far("", "g.") <= differing))
+    links = scratch.save(agreed(ordered(pairs, F.col("id"), F.col("at"), F.col("g.id"), F.col("g.at")), agreeing), "links")
+    scratch.tidy()
     # what is left: pairs of a bucket whose images are in different classes; its features are dealt into blocks
-    roots = components(links, scratch).select(F.col("v").alias("_v"), "root")
-    rows = rows.join(roots, F.col("f.id") == F.col("_v"), "left").select("f", "k", F.coalesce("root", "f.id").alias("root"))
+    roots = scratch.save(components(links, scratch).withColumnRenamed("v", "id"), "roots")
+    rows = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = rows.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
     count = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = rows.join(several.select("k", "members"), "k").withColumn("own", F.pmod(F.xxhash64("f"), count).cast("int"))
-    dealt = scratch.save(dealt.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1))), "dealt")
-    x = dealt.select("k", "f", "root", F.col("own").alias("i"), F.col("other").alias("j"))
-    y = dealt.select(F.col("k").alias("_k"), F.col("f").alias("g"), F.col("root").alias("_root"), F.col("other").alias("_i"), F.col("own").alias("_j"))
-    met = [F.col("k") == F.col("_k"), F.col("i") == F.col("_i"), F.col("j") == F.col("_j")]
-    rest = x.join(y, [*met, F.col("root") != F.col("_root"), F.col("g.id") < F.col("f.id"), far <= differing]).select("f", "g")
-    return scratch.save(links.union(agreed(rest, agreeing)), "links")
+    dealt = scratch.save(rows.join(several.select("k", "members"), "k").withColumn("own", F.pmod(F.xxhash64("id", "at"), count).cast("int")), "dealt")
+    scratch.tidy()
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1))).drop("members")
+    x = dealt.select("k", *[F.col(c).alias(f"x_{c}") for c in ("id", "at", "d0", "d1", "root")], F.col("own").alias("i"), F.col("other").alias("j"))
+    y = dealt.select("k", *[F.col(c).alias(f"y_{c}") for c in ("id", "at", "d0", "d1", "root")], F.col("other").alias("i"), F.col("own").alias("j"))
+    rest = x.join(y, ["k", "i", "j"]).where((F.col("x_root") != F.col("y_root")) & (F.col("y_id") < F.col("x_id")) & (far("x_", "y_") <= differing))
+    more = scratch.save(agreed(ordered(rest, F.col("x_id"), F.col("x_at"), F.col("y_id"), F.col("y_at")), agreeing), "links")
+    scratch.tidy(dealt)
+    return links.union(more)
+
+
+def ordered(pairs: DataFrame, id: Column, at: Column, id2: Column, at2: Column) -> DataFrame:
+    """(a, b, g, f): the smaller image and its feature as a and g, the other as b and f."""
+    less = id2 < id
+    return pairs.select(F.least(id, id2).alias("a"), F.greatest(id, id2).alias("b"), F.when(less, at2).otherwise(at).alias("g"), F.when(less, at).otherwise(at2).alias("f"))
 
 
 def agreed(pairs: DataFrame, agreeing: int) -> DataFrame:
-    """The pairs of images (a, b) of which `agreeing` distinct features, or more, vote for one shift, turn and scale. pairs: features (f, g)."""
+    """The pairs of images (a, b) of which `agreeing` distinct features, or more, vote for one shift, turn and scale. pairs: (a, b, g, f), features packed."""
     # two images need `agreeing` features in common before votes are made; one exchange by image pair serves all three steps
-    pairs = pairs.select("f", "g", F.col("f.id").alias("b"), F.col("g.id").alias("a")).repartition("a", "b").dropDuplicates(["a", "b", "f", "g"])
+    pairs = pairs.repartition("a", "b").dropDuplicates(["a", "b", "f", "g"])
     pairs = pairs.withColumn("common", F.count("*").over(Window.partitionBy("a", "b"))).where(F.col("common") >= agreeing)
+    bits = lambda c, by, n: F.shiftright(c, by).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
+    open_ = lambda c: F.struct(bits(c, 27, 20).alias("row"), bits(c, 7, 20).alias("col"), bits(c, 5, 2).alias("level"), bits(c, 0, 5).alias("angle"))
+    pairs = pairs.select("a", "b", open_(F.col("f")).alias("f"), open_(F.col("g")).alias("g"))
     # g's place after the turn and scale that the two features differ by; what remains is the shift
     turn = F.pmod(F.col("f.angle") - F.col("g.angle"), F.lit(ANGLES))
     rad = turn * (2 * np.pi / ANGLES)
@@ -202,9 +219,11 @@ def agreed(pairs: DataFrame, agreeing: int) -> DataFrame:
     ratio = F.element_at(scales, F.col("g.level") + 1) / F.element_at(scales, F.col("f.level") + 1)
     shift_row = F.col("f.row") - ratio * (F.col("g.row") * F.cos(rad) + F.col("g.col") * F.sin(rad))
     shift_col = F.col("f.col") - ratio * (F.col("g.col") * F.cos(rad) - F.col("g.row") * F.sin(rad))
-    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0.0, 0.5) for b in (0.0, 0.5)])).alias("grid")
-    votes = pairs.select("b", "a", "f", F.floor(turn / 4).alias("turn"), F.round(F.log2(ratio) * 2).alias("zoom"), shift_row.alias("sr"), shift_col.alias("sc"), grid)
-    votes = votes.groupBy("a", "b", "turn", "zoom", "grid", F.floor(F.col("sr") / 8 + F.col("grid.a")), F.floor(F.col("sc") / 8 + F.col("grid.b"))).agg(F.countDistinct("f.row", "f.col").alias("n"))
+    # cells overlap by half, around the circle too: what a cell's edge divides is together in another
+    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(t).alias("t")) for a in (0.0, 0.5) for b in (0.0, 0.5) for t in (0, 2)])).alias("grid")
+    votes = pairs.select("b", "a", F.struct("f.row", "f.col").alias("f"), turn.alias("turn"), F.round(F.log2(ratio) * 2).alias("zoom"), shift_row.alias("sr"), shift_col.alias("sc"), grid)
+    cell = F.floor(F.pmod(F.col("turn") + F.col("grid.t"), F.lit(ANGLES)) / 4)
+    votes = votes.groupBy("a", "b", cell, "zoom", "grid", F.floor(F.col("sr") / 8 + F.col("grid.a")), F.floor(F.col("sc") / 8 + F.col("grid.b"))).agg(F.countDistinct("f").alias("n"))
     return votes.where(F.col("n") >= agreeing).select("a", "b").distinct()
 
 
