@@ -89,7 +89,7 @@ def shard(docs: DataFrame, shards: int = 40, text: str = "text", rounds: int | N
     out = out.withColumn("first", F.when(F.col("linked"), F.coalesce(F.try_element_at(home, F.lit(1))["shard"], F.element_at("homes", -1)["shard"])).otherwise(start))
     # linked documents come first in their shard, so it's the others that leave a full one
     buckets = max(1, total // (shards * rows_per_bucket))
-    out = out.withColumn("bucket", F.when(F.col("linked"), 0).otherwise(buckets) + F.pmod(F.xxhash64("g", F.lit("bucket")), F.lit(buckets)))
+    out = out.withColumn("bucket", F.when(F.col("linked"), 0).otherwise(buckets) + F.pmod(F.xxhash64("h", F.lit("bucket")), F.lit(buckets)))
     out = scratch.save(out.drop("homes"), "first")
     out = running(out, ["first"], "bucket", [F.col("g"), F.col("h"), F.col("doc_id"), F.col("size")], F.lit(1), "place")
     held = {r["first"]: r["count"] for r in out.groupBy("first").count().collect()}
