@@ -164,8 +164,8 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", id: str =
             yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("id").cast(pa.string()), pa.array(made, pa.binary())], ["lang", "id", "x"])
 
     got = some.mapInArrow(shares, "lang string, id string, x binary").toArrow().sort_by([("lang", "ascending"), ("id", "ascending"), ("x", "ascending")])
-    if not got.num_rows:  # every language's few documents missed the draw
-        got = rows.limit(per_language).mapInArrow(shares, "lang string, id string, x binary").toArrow()
+    if not got.num_rows:  # every language's few documents missed the draw: those that came nearest
+        got = rows.orderBy(u / chance, "lang", "id", "text").limit(per_language).mapInArrow(shares, "lang string, id string, x binary").toArrow()
     x = np.stack([np.frombuffer(v, np.float32) for v in got.column("x").to_pylist()])
     return Model.fit(x, got.column("lang").to_pylist())
 
