@@ -47,14 +47,29 @@ def _folded() -> np.ndarray:
 FOLDED = _folded()
 
 
-def grams(data: bytes) -> np.ndarray:
-    """The 8 bytes at each place, as a number."""
-    b = FOLDED[np.frombuffer(data, np.uint8)]
+def folded(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Folded bytes with each run of spaces as one, Unicode's among them, and the place in the data of each."""
+    raw = np.frombuffer(data, np.uint8)
+    b = FOLDED[raw]
+    if len(b) > 2 and (raw > 127).any():
+        one, two, three = raw[:-2], raw[1:-1], raw[2:]
+        pair = np.flatnonzero((raw[:-1] == 0xC2) & ((raw[1:] == 0xA0) | (raw[1:] == 0x85)))
+        general = (one == 0xE2) & (two == 0x80) & ((three >= 0x80) & (three <= 0x8B) | (three == 0xA8) | (three == 0xA9) | (three == 0xAF))
+        triple = np.flatnonzero(general | ((one == 0xE2) & (two == 0x81) & (three == 0x9F)) | ((one == 0xE3) & (two == 0x80) & (three == 0x80)))
+        if len(pair) or len(triple):
+            b[np.concatenate([pair, pair + 1, triple, triple + 1, triple + 2])] = 32
+    kept = np.flatnonzero(np.append(True, (b[1:] != 32) | (b[:-1] != 32))[: len(b)])
+    return b[kept], kept
+
+
+def grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The 8 folded bytes at each place, as a number, and the places."""
+    b, at = folded(data)
     if len(b) < GRAM:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     two = b[:-1].astype(np.uint16) | (b[1:].astype(np.uint16) << np.uint16(8))
     four = two[:-2].astype(np.uint32) | (two[2:].astype(np.uint32) << np.uint32(16))
-    return four[:-4].astype(np.uint64) | (four[4:].astype(np.uint64) << np.uint64(32))
+    return four[:-4].astype(np.uint64) | (four[4:].astype(np.uint64) << np.uint64(32)), at[: len(b) - GRAM + 1]
 
 
 def winnow(hashes: np.ndarray, window: int) -> list[int]:
@@ -81,9 +96,9 @@ class Index:
         self.length = [len(templates[n].encode("utf-8")) for n in self.names]
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, name in enumerate(self.names):
-            g = grams(templates[name].encode("utf-8"))
+            g, place = grams(templates[name].encode("utf-8"))
             for at in winnow(g * MULTIPLIER, WINDOW):
-                self.places[int(g[at])].append((t, at))
+                self.places[int(g[at])].append((t, int(place[at])))
         count = [sum(t == x for v in self.places.values() for x, _ in v) for t in range(len(self.names))]
         self.least = [max(1, c // 5) for c in count]
         self.keys = np.array(sorted(self.places), np.uint64)
@@ -92,14 +107,14 @@ class Index:
 
     def hits(self, data: bytes) -> list[tuple[int, int]]:
         """(place, gram) wherever a text has an indexed gram. Every place is looked up, a superset of a winnowed text's."""
-        g = grams(data)
+        g, place = grams(data)
         near = np.flatnonzero(self.coarse[(g * MULTIPLIER >> np.uint64(48)).astype(np.int64)])
         if not len(near) or not len(self.keys):
             return []
         found = g[near]
         at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
         ok = self.keys[at] == found
-        return list(zip(near[ok].tolist(), found[ok].tolist()))
+        return list(zip(place[near[ok]].tolist(), found[ok].tolist()))
 
 
 def align(template: list[str], text: list[str], band: int) -> tuple[int, int, int]:
