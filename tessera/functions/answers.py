@@ -214,6 +214,16 @@ def greedy_choice(logprobs: Column) -> Column:
     return -F.array_max(filled)["i"]
 
 
+def logprob_arrays(entries: Column) -> Column:
+    """(tokens, logprobs, by_text) of entries (logprob, id, text): parallel arrays, nulls kept, and a map by text, of which the last of a text wins."""
+    later = lambda i: F.slice(entries, i + 2, F.greatest(F.lit(1), F.size(entries)))
+    last = F.filter(entries, lambda e, i: ~F.exists(later(i), lambda x: x["text"].eqNullSafe(e["text"])) & e["text"].isNotNull())
+    return F.struct(
+        F.transform(entries, lambda e: e["text"]).alias("tokens"), F.transform(entries, lambda e: e["logprob"]).alias("logprobs"),
+        F.map_from_entries(F.transform(last, lambda e: F.struct(e["text"], e["logprob"]))).alias("by_text"),
+    )
+
+
 def label_shares(logprobs: Column) -> Column:
     """Softmax of label tokens' log-probabilities, missing ones 0."""
     e = F.transform(logprobs, lambda x: F.coalesce(F.exp(x), F.lit(0.0)))

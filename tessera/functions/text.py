@@ -6,6 +6,8 @@ the underscore; white space is Unicode's property plus U+001C to U+001F.
 
 from __future__ import annotations
 
+import ast
+import json
 import unicodedata
 
 import pandas as pd
@@ -203,18 +205,37 @@ def split_reasoning(c: Column, start: str = "<think>", end: str = "</think>") ->
     )
 
 
+@F.pandas_udf(T.StringType())
+def _call_list(s: pd.Series) -> pd.Series:
+    """A list of Python calls with literal keyword arguments, as a JSON array; null for anything else."""
+
+    def read(text):
+        if not text.strip().startswith("["):
+            return None
+        try:
+            body = ast.parse(text.strip(), mode="eval").body
+            if not isinstance(body, ast.List) or not all(isinstance(x, ast.Call) and isinstance(x.func, ast.Name) for x in body.elts):
+                return None
+            return json.dumps([{"name": x.func.id, "arguments": {k.arg: ast.literal_eval(k.value) for k in x.keywords}} for x in body.elts])
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            return None
+
+    return s.map(read, na_action="ignore")
+
+
 def tool_calls(c: Column) -> Column:
-    """Calls in an answer, in any of the tagged JSON styles: array of (name, arguments as JSON text)."""
+    """Calls in an answer, in any of the tagged JSON styles or as a list of Python calls: array of (name, arguments as JSON text)."""
     call = "struct<name:string,arguments:string,parameters:string>"
     tagged = F.regexp_extract_all(c, F.lit(r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"), F.lit(1))
     listed = F.from_json(F.nullif(F.regexp_extract(c, r"(?s)\[TOOL_CALLS\]\s*(\[.*\])", 1), F.lit("")), f"array<{call}>")
     fenced = F.regexp_extract_all(c, F.lit(r"(?s)```json\s*(\{.*?\})\s*```"), F.lit(1))
     fenced_names = F.regexp_extract_all(c, F.lit(r"function<[^>]*>(\w+)\s*```json"), F.lit(1))
-    python_tag = F.when(c.contains("<|python_tag|>"), F.split(F.substring_index(c, "<|python_tag|>", -1), ";"))
+    python_tag = F.when(c.contains("<|python_tag|>"), F.split(F.substring_index(c, "<|python_tag|>", -1), r"(?<=\})\s*;\s*(?=\{)"))
     parsed = lambda xs: F.transform(xs, lambda x: F.from_json(x, call))
     named = F.transform(F.arrays_zip(fenced_names.alias("n"), fenced.alias("a")), lambda z: F.from_json(F.to_json(F.struct(z["n"].alias("name"), z["a"].alias("arguments"))), call))
     bare = F.when(F.ltrim(c).startswith("{"), F.array(c))
-    found = F.coalesce(F.when(F.size(tagged) > 0, parsed(tagged)), listed, F.when((F.size(fenced) > 0) & (F.size(fenced_names) > 0), named), parsed(python_tag), parsed(bare))
+    pythonic = F.when(F.trim(c).rlike(r"(?s)^\[\s*[A-Za-z_]\w*\s*\(.*\)\s*\]$"), F.from_json(_call_list(c), f"array<{call}>"))
+    found = F.coalesce(F.when(F.size(tagged) > 0, parsed(tagged)), listed, pythonic, F.when((F.size(fenced) > 0) & (F.size(fenced_names) > 0), named), parsed(python_tag), parsed(bare))
     kept = F.filter(found, lambda x: x["name"].isNotNull())
     return F.transform(F.coalesce(kept, F.array().cast(f"array<{call}>")), lambda x: F.struct(x["name"].alias("name"), F.coalesce(x["arguments"], x["parameters"]).alias("arguments")))
 

@@ -43,6 +43,37 @@ def test_appending_twice_adds_nothing(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_question_lists_are_literals(spark, tmp_path):
+    rows = [{"input": "abc", "qa_pairs": str([{"Q": "what's \"it\"?", "A": "x"}, {"Q": "two", "A": 2}])}, {"input": "d" * 2000, "qa_pairs": "none"}, {"input": "e", "qa_pairs": "[broken"}, {"input": "f"}]
+    (tmp_path / "q.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    got = [tuple(r) for r in io.question_lists(spark, str(tmp_path / "q.jsonl")).collect()]
+    assert got == [("question", "abc", "what's \"it\"?", "x"), ("question", "abc", "two", "2"), ("summary", "d" * 2000, None, "d" * 1024), ("summary", "e", None, "e"), ("summary", "f", None, "f")]
+
+
+def test_lines_of_white_space_are_blank(spark, tmp_path):
+    (tmp_path / "l.txt").write_text("a\t\n\t\n\u3000\n \x1c\n\n  b c \n")
+    assert [r.line for r in io.lines(spark, str(tmp_path / "l.txt")).collect()] == ["a", "b c"]
+
+
+def test_banners_are_numbered(spark, tmp_path):
+    d = spark.createDataFrame([(k, f"text {k}") for k in (3, 1, 2)], "id long, t string")
+    io.write_banners(d, "t", str(tmp_path / "b"), ["id"])
+    assert [r.value for r in spark.read.text(str(tmp_path / "b")).collect()] == [x for k in (1, 2, 3) for x in ("=" * 40 + f" {k}", f"text {k}")]
+
+
+def test_the_first_in_order_is_appended(spark, tmp_path):
+    d = spark.createDataFrame([(1, "b"), (1, "a"), (1, "c")], "fp long, text string")
+    io.append_unseen(d, str(tmp_path / "o"), "fp")
+    io.append_unseen(d.withColumn("fp", F.lit(2).cast("long")), str(tmp_path / "o"), "fp", ("text",))
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [(1, "a"), (2, "a")]
+
+
+def test_report_has_all_rows_or_says_how_many_more(spark):
+    d = spark.range(1200).toDF("id")
+    assert io.report(d, "t").count("<tr>") == 1201
+    assert "1190 more rows" in io.report(d, "t", 10) and io.report(d, "t", 10).count("<tr>") == 11
+
+
 def test_counted_writes(spark, tmp_path):
     d = spark.createDataFrame([("1", None), ("2", "e")], "custom_id string, error string")
     assert io.write_batch(d, str(tmp_path / "b")) == {"total": 2, "completed": 1, "failed": 1}

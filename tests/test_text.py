@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import answers, chat, models
 from tessera.functions import text as tx
-from tessera.operators import dedup, evals, mix, quality, ranking, tokens
+from tessera.operators import chains, curate, dedup, evals, mix, quality, ranking, tokens
 
 
 def values(spark, rows, column, schema="x string"):
@@ -156,3 +156,50 @@ def test_retries():
 
     assert models.retried(call, "p", sleep=lambda _: None) == ("yes", None)
     assert models.retried(lambda _: 1 / 0, "p", sleep=lambda _: None)[0] is None
+
+
+def test_one_pass_of_patterns_equals_each(spark):
+    rows = ["Only For educational use", "only for", "AS AN AI model", "as an artist", "i can’t help with that", "抱歉，我不能", "抱歉\n不能", "侵权", "无法协助", "加微信", "", "I am not a Doctor", "xI cannot assistx"]
+    d = spark.createDataFrame([(r,) for r in rows], "x string")
+    each = F.lit(False)
+    for p in tx.REFUSALS:
+        each = each | F.col("x").rlike(f"(?d){p}")
+    got = d.select(tx.matches_any(F.col("x")).alias("a"), each.alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and sum(r.a for r in got) == 9
+    assert values(spark, ["b1", "x"], tx.matches_any(F.col("x"), (r"\d", "(?i)Q"))) == [True, False]
+
+
+def test_chains_of_any_length_and_rings(spark):
+    links = [(i, i + 1) for i in range(100)] + [(100, 100), (200, 201), (201, 202), (202, 200), (203, 201), (300, 301), (400, None)]
+    got = {r.id: (r.end, r.hops, r.ring) for r in chains.resolved(spark.createDataFrame(links, "id long, to long")).collect()}
+    assert all(got[i] == (100, 100 - i, False) for i in range(101)) and all(got[i] == (None, None, True) for i in (200, 201, 202, 203))
+    assert got[300] == (301, 1, False) and got[400] == (400, 0, False)
+
+
+def test_greedy_choice_of_long_answers(spark):
+    long = [-0.1] * 80
+    d = spark.createDataFrame([([long + [-0.2], long + [-0.1]],), ([[-1.0], [-0.5, -2.0]],)], "l array<array<double>>")
+    assert [r[0] for r in d.select(answers.greedy_choice(F.col("l"))).collect()] == [1, 1]
+
+
+def test_the_last_option_named_wins(spark):
+    o = F.array(*[F.lit(x) for x in ("red", "green", "blue", "grey")])
+    assert values(spark, ["I think that red or blue might do but finally red", "it may well be a red or a blue one"], answers.chosen_option(F.col("x"), o)) == ["A", "C"]
+
+
+def test_python_calls(spark):
+    rows = ['[f(a=1, b="x;y"), g()]', "[not a call]", '<|python_tag|>{"name": "f", "arguments": {"q": "a;b"}}; {"name": "g", "arguments": {}}']
+    got = values(spark, rows, tx.tool_calls(F.col("x")))
+    assert [[c.name for c in r] for r in got] == [["f", "g"], [], ["f", "g"]] and json.loads(got[0][0].arguments) == {"a": 1, "b": "x;y"}
+
+
+def test_curation_modes_by_the_counts(spark):
+    rows = [(i, "hit", 0, f"hit {i}") for i in range(11)] + [(100 + i, "general", 1, f"text {i if i % 80 else 0}") for i in range(240)]
+    d = spark.createDataFrame(rows, "id long, source string, rank int, text string")
+    run = lambda **more: curate.curated(d, {"hit": 0.4, "general": 0.6}, 300, F.length("text") > 6, **more)
+    repeats = 240 - len({t for _, s, _, t in rows if s == "general"})
+    assert repeats == 2
+    assert run(filtering=False, near=None).count() == 251 - repeats
+    assert run(filtering=False, deduplicating=False).count() == 300
+    kept = run(near=None).collect()
+    assert len(kept) == len({r.fp for r in kept}) == len({t for *_, t in rows if len(t) > 6})
