@@ -199,6 +199,44 @@ def any_of(c: Column, golds: Column) -> Column:
     return F.exists(golds, lambda g: F.contains(c, g))
 
 
+# Words before an answer; the last counts in the last line only. Tails of one of these marks say nothing.
+BEFORE_ANSWER = ("could be ", "so ", "is ", "thus ", "therefore ", "final ", "answer ", "result ", "=")
+MARKS = (":", ",", ".", "!", "?", ";", "'")
+
+
+def _values(found: Column) -> Column:
+    """(strs, nums): texts in lower case, single characters with a space before or after; numbers rounded to two places."""
+    number = lambda x: F.replace(strip(x), F.lit(","), F.lit(""))
+    is_number = lambda x: number(x).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    forms = lambda x: F.when(F.length(x) == 1, F.array(F.concat(F.lit(" "), x), F.concat(x, F.lit(" ")))).otherwise(F.array(x))
+    texts = F.flatten(F.transform(F.filter(found, lambda x: ~is_number(x)), lambda x: forms(F.lower(strip(x)))))
+    nums = F.transform(F.filter(found, is_number), lambda x: F.bround(number(x).try_cast("double"), 2))
+    return F.struct(F.array_distinct(texts).alias("strs"), F.array_distinct(nums).alias("nums"))
+
+
+def open_answers(c: Column) -> Column:
+    """(strs, nums) that a free answer may mean: of each line the shortest text after one of the words before an answer,
+    the whole answer if no line has one, and the numbers in them."""
+    whole = F.lower(F.regexp_replace(strip(c), r"^\.+|\.+$", ""))
+    lines = F.split(whole, "\n")
+
+    def tail(line, i):
+        each = F.array(*[F.struct((line.contains(w) & ((i == F.size(lines) - 1) if w == "=" else F.lit(True))).alias("has"), strip(F.substring_index(line, w, -1)).alias("tail")) for w in BEFORE_ANSWER])
+        shorter = lambda best, x: (best == "") | (F.length(x["tail"]) < F.length(best))
+        return F.aggregate(each, F.lit(""), lambda best, x: F.when(x["has"] & shorter(best, x), x["tail"]).otherwise(best))
+
+    tails = F.filter(F.transform(lines, tail), lambda t: (t != "") & ~t.isin(*MARKS))
+    said = F.when(F.size(tails) > 0, tails).otherwise(F.array(whole))
+    return _values(F.concat(said, F.flatten(F.transform(said, numbers_in))))
+
+
+def open_correct(found: Column, golds: Column) -> Column:
+    """Whether a text of `open_answers` holds one of the right answers, or a number of it is one."""
+    right = _values(golds)
+    held = F.exists(found["strs"], lambda s: F.exists(right["strs"], lambda g: F.contains(s, g)))
+    return held | F.arrays_overlap(found["nums"], right["nums"])
+
+
 def best_choice(logprobs: Column, penalty: Column | None = None) -> Column:
     """The place, from 0, of the choice whose tokens' mean log-probability (less an unconditional one's) is largest."""
     mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)

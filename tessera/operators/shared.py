@@ -1,18 +1,41 @@
-"""Checkpoints in the folder that the cluster shares."""
+"""Checkpoints and tables in the folder that the cluster shares."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in spark.checkpoint.dir; only a local session without the setting gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only a local session without the setting gets a temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         base = sc.getConf().get("spark.checkpoint.dir", None)
         if base is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="tessera-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the session ends."""
+    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{name}"
+
+    def remove():
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session may have ended
+            pass
+
+    atexit.register(remove)
+    return path

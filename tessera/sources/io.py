@@ -74,7 +74,8 @@ def shared_chats(spark: SparkSession, path: str) -> DataFrame:
 def alternating(spark: SparkSession, path: str) -> DataFrame:
     """Flat lists of turns, user first: pairs of (user, assistant); an odd one at the end is left out."""
     d = json_lines(spark, path, "data array<string>").where(F.size("data") > 1)
-    at = F.sequence(F.lit(0), F.size("data") - 2, F.lit(2))
+    # guarded here too, since the filter may run after this
+    at = F.when(F.size("data") > 1, F.sequence(F.lit(0), F.size("data") - 2, F.lit(2)))
     return d.select(F.transform(at, lambda i: F.struct(F.get("data", i).alias("user"), F.get("data", i + 1).alias("assistant"))).alias("turns"))
 
 
