@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,3 +53,10 @@ def quarters(lines: Column) -> Column:
     k = F.floor(F.size(lines) / 4).cast("int")
     block = lambda i: F.array_join(F.when(k > 0, F.slice(lines, k * i + 1, k)).otherwise(F.array().cast("array<string>")), "\n")
     return F.array(block(0), block(1), block(2), F.array_join(F.slice(lines, k * 3 + 1, F.size(lines) - k * 3), "\n"))
+
+
+def topic_messages(system: str, template: str, **values: Column) -> Column:
+    """A system message and a user message: the template with each {name} replaced by its value, the text of a value as it is."""
+    parts = re.split(r"\{(\w+)\}", template)
+    user = F.concat(*[values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+    return F.array(*[F.struct(F.lit(role).alias("role"), said.alias("content")) for role, said in (("system", F.lit(system)), ("user", user))])

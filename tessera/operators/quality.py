@@ -51,3 +51,19 @@ def generated_ok(ins: Column, inp: Column, out: Column) -> Column:
     for c in (ins, inp, out):
         ok = ok & tx.script_ratio_ok(tx.strip(c))
     return ok & ~tx.matches_any(out, tx.BAD_PHRASES)
+
+
+def present(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows without a null in these columns."""
+    return df.dropna(subset=list(columns))
+
+
+def is_large(width: Column, height: Column, limit: int) -> Column:
+    """Whether an image has so many pixels or more; false where a side isn't known."""
+    return F.coalesce(width.cast("long") * height.cast("long") >= limit, F.lit(False))
+
+
+def large_share(width: Column, height: Column, limit: int) -> list[Column]:
+    """skipped, and its percentage of all rows to two places: aggregates."""
+    skipped = F.count_if(is_large(width, height, limit))
+    return [skipped.alias("skipped"), F.round(100.0 * skipped / F.count(F.lit(1)), 2).alias("percent")]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("curation", "conversations", "training", "evaluation", "serving", "requests", "files", "extraction", "relational")
+MODULES = ("curation", "conversations", "training", "evaluation", "serving", "requests", "files", "extraction", "results", "relational")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -18,6 +18,7 @@ CHATML = "text string"
 CONVERSATION = "conversation_id long, category string, conversation array<struct<human:string,assistant:string>>, system string"
 SHARE = "struct<from:string,value:string>"
 BATCH_IN = "custom_id string, method string, url string, body string"
+RESPONSE = "idx long, response string, error string"
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -182,3 +183,44 @@ def report(df: DataFrame, title: str, most: int | None = None) -> str:
     body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in rows[:most])
     more = f"<p>{df.count() - most} more rows</p>" if most is not None and len(rows) > most else ""
     return f"<h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>{more}"
+
+
+def cache_responses(df: DataFrame, path: str) -> None:
+    """Appends (idx, response, error) to a response cache; an index that it holds already, with an error or without, stays as it is."""
+    append_unseen(df.select("idx", "response", "error"), path, "idx", ("error", "response"))
+
+
+def uncached(wanted: DataFrame, path: str) -> DataFrame:
+    """The rows whose idx a response cache doesn't hold."""
+    return wanted.join(wanted.sparkSession.read.schema(RESPONSE).parquet(path).select("idx"), "idx", "left_anti")
+
+
+def cached_responses(wanted: DataFrame, path: str) -> DataFrame:
+    """The rows with their response; those with an error go, and an index that the cache doesn't hold is an error."""
+    cache = wanted.sparkSession.read.schema(RESPONSE).parquet(path).withColumn("_held", F.lit(True))
+    missing = F.raise_error(F.format_string("no response for %s", F.col("idx"))).cast("boolean")
+    return wanted.join(cache, "idx", "left").where(F.when(F.col("_held"), F.col("error").isNull()).otherwise(missing)).drop("_held", "error")
+
+
+def append_results(df: DataFrame, path: str, details: bool = True) -> None:
+    """Appends result rows as JSON lines, without their arrays unless details are wanted."""
+    kept = [f.name for f in df.schema.fields if details or not isinstance(f.dataType, T.ArrayType)]
+    df.select(*kept).write.mode("append").json(path)
+
+
+def write_keyed(df: DataFrame, key: str, value: str, path: str) -> None:
+    """JSON lines of one entry each: the key's last part between slashes, and the value."""
+    name = F.substring_index(F.col(key).cast("string"), "/", -1)
+    df.select(F.to_json(F.create_map(name, F.col(value))).alias("value")).write.mode("overwrite").text(path)
+
+
+def keyed(spark: SparkSession, path: str, value: str = "string") -> DataFrame:
+    """(key, value) of JSON lines of entries."""
+    return spark.read.text(path).select(F.explode(F.from_json("value", f"map<string, {value}>")))
+
+
+def write_answers(df: DataFrame, model_id: str, path: str) -> None:
+    """(question_id, turns) as JSON lines of answers, each with an id of its own and the time of writing."""
+    choices = F.struct(F.lit(0).alias("index"), "turns").alias("choices")
+    stamp = F.unix_micros(F.current_timestamp()) / 1e6
+    df.select("question_id", F.replace(F.uuid(), F.lit("-"), F.lit("")).alias("answer_id"), F.lit(model_id).alias("model_id"), choices, stamp.alias("tstamp")).write.mode("overwrite").json(path)

@@ -117,3 +117,23 @@ def test_windows_in_a_stream_equal_the_batch(spark, tmp_path):
     streams.windowed(s, "ts", "event_type", "value").writeStream.format("memory").queryName("win").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     batch = streams.windowed(e, "ts", "event_type", "value")
     assert sorted(map(tuple, spark.table("win").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_response_cache(spark, tmp_path):
+    at = f"{tmp_path}/cache"
+    first = spark.createDataFrame([(1, "a", None), (2, None, "timeout")], io.RESPONSE)
+    io.cache_responses(first, at)
+    io.cache_responses(spark.createDataFrame([(1, "b", None), (2, "c", None), (3, "d", None), (3, "d", None)], io.RESPONSE), at)
+    wanted = spark.createDataFrame([(1,), (2,), (3,)], "idx long")
+    assert sorted(tuple(r) for r in io.cached_responses(wanted, at).collect()) == [(1, "a"), (3, "d")]
+    more = spark.createDataFrame([(3,), (4,)], "idx long")
+    assert [r.idx for r in io.uncached(more, at).collect()] == [4]
+    with pytest.raises(Exception, match="no response for 4"):
+        io.cached_responses(more, at).count()
+
+
+def test_topic_messages_keep_values_as_they_are(spark):
+    from tessera.operators import prompts
+
+    m = spark.range(1).select(prompts.topic_messages("s", "{a} and {b}{a}", a=F.lit("{b}"), b=F.lit(2)).alias("m")).first().m
+    assert [tuple(x) for x in m] == [("system", "s"), ("user", "{b} and 2{b}")]
