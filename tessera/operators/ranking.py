@@ -110,3 +110,21 @@ def cache_aware_route(match_rate: Column, matched: Column, least_loaded: Column,
 
 def two_choices(load_a: Column, load_b: Column, a: Column, b: Column) -> Column:
     return F.when(load_a <= load_b, a).otherwise(b)
+
+
+def subtree_order(df: DataFrame, id: str, path: str, name: str) -> DataFrame:
+    """(id, name): a place, from 0, for each node of a tree, its path being an array of labels from the root down.
+
+    The order goes depth first, a node after all below it; of the branches at a node the one of most rows first, then
+    the one of the least label; rows of one node by id. A null or empty path is the root, which comes last.
+    """
+    rows = df.select(F.col(id).alias("id"), F.coalesce(path, F.array().cast("array<string>")).alias("path"))
+    # each row counts for every node on its path
+    on = rows.select("id", "path", F.posexplode("path").alias("depth", "label")).withColumn("node", F.slice("path", F.lit(1), F.col("depth") + 1))
+    lead = on.groupBy("node").agg((-F.count("*")).alias("lead"))
+    step = F.struct("depth", "lead", F.coalesce("label", F.lit("")).alias("label"))
+    keys = on.join(lead, "node").groupBy("id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    # what ends at a node comes after what goes on below it
+    end = F.array(F.struct(F.size("path").alias("depth"), F.lit((1 << 63) - 1).alias("lead"), F.lit("").alias("label")))
+    keyed = rows.join(keys, "id", "left").select("id", F.when(F.col("steps").isNull(), end).otherwise(F.concat("steps", end)).alias("key"))
+    return numbered(keyed, ["key", "id"], name).select(F.col("id").alias(id), name)

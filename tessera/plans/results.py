@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import prompts, quality
+from tessera.operators import prompts, quality, ranking
 from tessera.operators.shared import scratch_path
 from tessera.sources import io
 
@@ -65,7 +65,14 @@ def large_images(spark, sf_dir):
     return rows.groupBy("l_returnflag").agg(*quality.large_share(F.col("w"), F.col("h"), 1_000_000), F.count_if(~quality.is_large(F.col("w"), F.col("h"), 1_000_000)).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (response_cache, result_files, keyed_rows, answer_rows, topic_prompts, large_images)}
+def subtree_schedule(spark, sf_dir):
+    """Documents as requests at nodes of a tree of sources and languages, a seventh of them at a source itself, depth first by the rows below."""
+    lang = F.when(F.col("doc_id") % 7 > 0, F.array(F.coalesce("lang", F.lit("")))).otherwise(F.array().cast("array<string>"))
+    d = _table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", F.concat(F.array(F.coalesce("source", F.lit(""))), lang).alias("path"))
+    return ranking.subtree_order(d, "doc_id", "path", "place")
+
+
+QUERIES = {f.__name__: f for f in (response_cache, result_files, keyed_rows, answer_rows, topic_prompts, large_images, subtree_schedule)}
 
 ORACLES = {
     "response_cache": "SELECT item_id AS idx, CASE WHEN item_id % 3 <> 0 THEN '1:' ELSE '2:' END || md5(text) AS response FROM benchmark WHERE item_id % 5 <> 0",
@@ -79,4 +86,8 @@ ORACLES = {
     "large_images": """
         WITH i AS (SELECT l_returnflag, (l_quantity * 40)::BIGINT * (l_linenumber * 300)::BIGINT >= 1000000 AS large FROM lineitem WHERE l_quantity IS NOT NULL AND l_linenumber IS NOT NULL)
         SELECT l_returnflag, count(*) FILTER (large) AS skipped, round(100.0::DOUBLE * count(*) FILTER (large) / count(*), 2) AS percent, count(*) FILTER (NOT large) AS kept FROM i GROUP BY 1""",
+    "subtree_schedule": """
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS s, CASE WHEN doc_id % 7 > 0 THEN coalesce(lang, '') END AS l FROM documents WHERE doc_id IS NOT NULL),
+        w AS (SELECT *, count(*) OVER (PARTITION BY s) AS ws, count(*) OVER (PARTITION BY s, l) AS wl FROM d)
+        SELECT doc_id, row_number() OVER (ORDER BY ws DESC, s, l IS NULL, wl DESC, l, doc_id) - 1 AS place FROM w""",
 }
