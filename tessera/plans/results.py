@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import programs
 from tessera.operators import prompts, quality, ranking
 from tessera.operators.shared import scratch_path
 from tessera.sources import io
@@ -72,7 +73,30 @@ def subtree_schedule(spark, sf_dir):
     return ranking.subtree_order(d, "doc_id", "path", "place")
 
 
-QUERIES = {f.__name__: f for f in (response_cache, result_files, keyed_rows, answer_rows, topic_prompts, large_images, subtree_schedule)}
+@programs.function()
+def _quiz(s, text, task):
+    return s.system(task).user(text).gen("reason").say("\nHow many? ").gen_int("n").say("\nSo: ").select("choice", ["yes", "no", "unknown"])
+
+
+def prompt_program(spark, sf_dir):
+    """A program over the benchmark: a completion, a number and a choice, each after what was said before."""
+    done = _quiz.bind(task="Judge.").run_batch(_table(spark, sf_dir, "benchmark").where("text IS NOT NULL"), "text")
+    return done.select("item_id", "reason", F.coalesce("n", F.lit(-1)).alias("n"), "choice", F.md5("said").alias("md5"))
+
+
+def _banned(scores, params):
+    scores[params["ban"] % len(scores)] = -1e9
+    return scores
+
+
+def score_processor(spark, sf_dir):
+    """Vectors as scores, of which each row bans one by its own parameters: the place of the best that is left."""
+    v = _table(spark, sf_dir, "embeddings").where("size(embedding) > 0")
+    left = programs.processed(F.col("embedding"), F.to_json(F.struct((F.col("vec_id") * 7).alias("ban"))), _banned)
+    return v.select("vec_id", left.alias("s")).select("vec_id", (F.array_position("s", F.array_max("s")) - 1).alias("best"))
+
+
+QUERIES = {f.__name__: f for f in (response_cache, result_files, keyed_rows, answer_rows, topic_prompts, large_images, subtree_schedule, prompt_program, score_processor)}
 
 ORACLES = {
     "response_cache": "SELECT item_id AS idx, CASE WHEN item_id % 3 <> 0 THEN '1:' ELSE '2:' END || md5(text) AS response FROM benchmark WHERE item_id % 5 <> 0",
@@ -90,4 +114,15 @@ ORACLES = {
         WITH d AS (SELECT doc_id, coalesce(source, '') AS s, CASE WHEN doc_id % 7 > 0 THEN coalesce(lang, '') END AS l FROM documents WHERE doc_id IS NOT NULL),
         w AS (SELECT *, count(*) OVER (PARTITION BY s) AS ws, count(*) OVER (PARTITION BY s, l) AS wl FROM d)
         SELECT doc_id, row_number() OVER (ORDER BY ws DESC, s, l IS NULL, wl DESC, l, doc_id) - 1 AS place FROM w""",
+    "prompt_program": """
+        WITH a AS (SELECT item_id, '<|system|>' || chr(10) || 'Judge.' || chr(10) || '<|user|>' || chr(10) || text || chr(10) AS p FROM benchmark WHERE text IS NOT NULL),
+        b AS (SELECT item_id, md5(p) AS reason, p || md5(p) || chr(10) || 'How many? ' AS p FROM a),
+        c AS (SELECT *, TRY_CAST(regexp_extract(md5(p), '[0-9]{1,18}') AS BIGINT) AS n FROM b),
+        d AS (SELECT item_id, reason, n, p || coalesce(n::VARCHAR, '') || chr(10) || 'So: ' AS p FROM c),
+        o AS (SELECT d.*, choice, place, md5(p || choice) AS h FROM d, (VALUES ('yes', 0), ('no', 1), ('unknown', 2)) o(choice, place)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY strpos('0123456789abcdef', h[1]) + strpos('0123456789abcdef', h[2]), place) AS r FROM o)
+        SELECT item_id, reason, coalesce(n, -1) AS n, choice, md5(p || choice) AS md5 FROM r WHERE r = 1""",
+    "score_processor": """
+        WITH s AS (SELECT vec_id, list_transform(embedding, lambda x, i: CASE WHEN i - 1 = (vec_id * 7) % len(embedding) THEN -1e9::DOUBLE ELSE x::DOUBLE END) AS s FROM embeddings WHERE len(embedding) > 0)
+        SELECT vec_id, list_position(s, list_max(s)) - 1 AS best FROM s""",
 }
