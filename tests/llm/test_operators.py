@@ -70,6 +70,29 @@ def test_top_k_of_nothing(spark):
     assert vector_search.top_k(d, d).count() == 0
 
 
+def test_top_k_copies_no_block(spark):
+    """Of many blocks, none is copied for those that it meets; ties and own rows over blocks of a strip."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4) / 8]) for i in range(700)]
+    d = spark.createDataFrame(rows, "id long, e array<float>").select("id", vector_search.quantise(F.col("e")).alias("v"))
+    got = vector_search.top_k(d, d.where("id % 10 = 0"), query_block=3, vector_block=5)
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got.collect()} == brute_top(rows, 5, 10)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("big", [3, 5000, 2**20, 2**29])
+def test_best_of_blocks(big):
+    rng = np.random.default_rng(big)
+    x, q = rng.integers(-big, big + 1, (300, 5)), rng.integers(-big, big + 1, (40, 5))
+    ids, q_ids = np.sort(rng.integers(0, 250, 300)), rng.integers(0, 250, 40)
+    best = vector_search.Best(q_ids, 5)
+    for at in range(0, 300, 70):
+        best.meet(vector_search.narrow(q), vector_search.narrow(x[at : at + 70]), ids[at : at + 70], 4)
+    for i in range(40):
+        want = sorted((-sum(int(a) * int(b) for a, b in zip(q[i], v)), int(n)) for v, n in zip(x, ids) if n != q_ids[i])[:5]
+        assert [(-int(s), int(n)) for s, n in zip(best.scores[i], best.ids[i])] == want
+
+
 def test_wide_scores_are_exact():
     big = 2**30
     x = np.array([[big, big], [big, big - 1]], np.int64)
