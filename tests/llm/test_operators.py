@@ -218,6 +218,24 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[k] == 100 for k in range(100, 130)) and got[202] == 200 and len(got) == 41 + 30 + 3
 
 
+def test_common_shingles_come_last_whatever_the_sketch(spark):
+    """Where the sketch is too small to tell what is common, a sample of the texts does, so no bucket of the common passage is left."""
+    rng = random.Random(11)
+    passage = prose(rng, 12)
+    rows = [(i, f"{' '.join(str(rng.random()) for _ in range(40))} {passage}") for i in range(2500)]
+    docs, scratch = spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)
+    known = jaccard.Orders(np.full((2, 16), 2500 * 52 // 16, np.int32))
+
+    def largest():
+        p = jaccard.postings(docs, "text", 3, 90, spark.sparkContext.broadcast(known), 2)
+        return p.groupBy("tok").count().agg(F.max("count")).collect()[0][0]
+
+    assert largest() > jaccard.CROWD
+    known.know(*jaccard.frequent(docs, "text", 3, spark.sparkContext.broadcast(known), scratch))
+    assert largest() == 1
+    assert jaccard.link(docs.limit(200).union(docs.limit(1)), bits=6).where("component_id <> doc_id").count() == 0
+
+
 # op5
 
 
