@@ -1,6 +1,7 @@
 """Each operator against brute force on small fixtures: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -236,6 +237,14 @@ def test_common_shingles_come_last_whatever_the_sketch(spark):
     assert jaccard.link(docs.limit(200).union(docs.limit(1)), bits=6).where("component_id <> doc_id").count() == 0
 
 
+def test_orders_are_sent_as_a_byte_a_place():
+    known = jaccard.Orders(np.full((2, 1 << 20), 70, np.int32))
+    known.know(np.arange(1, 1001, dtype=np.uint64), np.full(1000, 64))
+    sent = pickle.dumps(known)
+    assert len(sent) < (2 << 20) + 100_000
+    assert (pickle.loads(sent).level(np.array([5, 5000], np.uint64)) >> np.uint64(56)).tolist() == [48, 0]
+
+
 # op5
 
 
