@@ -350,6 +350,28 @@ def test_crowded_buckets_are_dealt_out(spark, monkeypatch):
     assert got == want >= len(copies) - 1
 
 
+def test_lines_near_the_threshold_seldom_become_pairs(spark):
+    rng = random.Random(21)
+    base, texts = prose(rng, 90).split(" "), []
+    for k in range(60):  # each two share some 0.7 of their shingles, and every fifth has a copy that links
+        other = list(base)
+        for at in rng.sample(range(90), 5):
+            other[at] = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(len(other[at])))
+        texts += [" ".join(other)] + [" ".join(other) + " zx"] * (k % 5 == 0)
+    d = spark.createDataFrame(list(enumerate(texts)), "h long, norm string")
+    none, scratch = spark.createDataFrame([], "v long, root long"), Scratch(spark)
+    signed = scratch.save(lines.signed(d).select("h", *lines.SCALES), "signed")
+    members = scratch.save(signed.select("h", F.explode(F.concat(*[lines.bands(F.col(s)) for s in lines.SCALES])).alias("band")), "members")
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
+    assert lines.apart(members, none, d, signed, 80, scratch).count() <= len(want) + 60
+    # a pair meets in one bucket, however many the two share
+    left = members.join(members.groupBy("band").agg(F.count("*").alias("members")), "band").withColumn("root", F.col("h"))
+    left, maps = scratch.save(left, "left"), scratch.save(lines.bitmaps(d.select("h"), d, signed), "maps")
+    met = [tuple(r) for r in lines.meetings(left, maps, 80).collect()]
+    assert len(met) == len(set(met)) and want <= set(met) and len(want) >= 12
+
+
 def test_templated_lines(spark):
     rng = random.Random(18)
     rows = [f"Order {rng.randrange(10**6)} of {prose(rng, 14)} was sent to {prose(rng, 2)} on day {rng.randrange(400)}" for _ in range(150)]
