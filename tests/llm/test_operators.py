@@ -4,6 +4,7 @@ import hashlib
 import pickle
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -245,6 +246,21 @@ def test_orders_are_sent_as_a_byte_a_place():
     assert (pickle.loads(sent).level(np.array([5, 5000], np.uint64)) >> np.uint64(56)).tolist() == [48, 0]
 
 
+def test_orders_reach_the_driver_as_levels(spark):
+    rng, scratch = random.Random(22), Scratch(spark)
+    docs = spark.createDataFrame([(i, prose(rng, 80)) for i in range(300)], "doc_id long, text string").repartition(3)
+    seen = scratch.save(jaccard.survey(docs, "doc_id", "text", 1, 20).where("part IS NOT NULL").select("part", "task", "counts"), "seen")
+    tracemalloc.start()
+    known = jaccard.gathered(seen, 20, scratch)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts = np.zeros((jaccard.SLICES, (2 << 20) // jaccard.SLICES), np.int64)
+    for r in seen.collect():
+        counts[r.part] += np.frombuffer(r.counts, "<i4")
+    assert (known.places == jaccard.Orders(counts.reshape(2, -1)).places).all() and known.places.max() > 0
+    assert most < 12 << 20  # 2 MB of levels and what carries them
+
+
 # op5
 
 
