@@ -23,6 +23,8 @@ TABLES = 4
 AREA = 64 * 64
 #: Features of a block of a bucket; all pairs of two blocks meet in one task.
 BLOCK = 1024
+#: Comparisons of features at once, about: so many like pairs at most are on disk together.
+COMPARED = 1 << 26
 
 
 def to_pgm(image: np.ndarray) -> bytes:
@@ -187,15 +189,22 @@ def linked(f: DataFrame, differing: int, agreeing: int, scratch: Scratch) -> Dat
     rows = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = rows.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
     count = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = scratch.save(rows.join(several.select("k", "members"), "k").withColumn("own", F.pmod(F.xxhash64("id", "at"), count).cast("int")), "dealt")
+    dealt = dealt_at = scratch.save(rows.join(several.select("k", "members"), "k").withColumn("own", F.pmod(F.xxhash64("id", "at"), count).cast("int")), "dealt")
+    work = (dealt.agg(F.sum("members").alias("n")).collect()[0]["n"] or 0) / 2
     scratch.tidy()
+    # in turns by the larger image, so all that votes for a pair of images is in one
+    turns = max(1, int(-(-work // COMPARED)))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1))).drop("members")
     x = dealt.select("k", *[F.col(c).alias(f"x_{c}") for c in ("id", "at", "d0", "d1", "root")], F.col("own").alias("i"), F.col("other").alias("j"))
     y = dealt.select("k", *[F.col(c).alias(f"y_{c}") for c in ("id", "at", "d0", "d1", "root")], F.col("other").alias("i"), F.col("own").alias("j"))
-    rest = x.join(y, ["k", "i", "j"]).where((F.col("x_root") != F.col("y_root")) & (F.col("y_id") < F.col("x_id")) & (far("x_", "y_") <= differing))
-    more = scratch.save(agreed(ordered(rest, F.col("x_id"), F.col("x_at"), F.col("y_id"), F.col("y_at")), agreeing), "links")
-    scratch.tidy(dealt)
-    return links.union(more)
+    more = links
+    for turn in range(turns):
+        mine = x.where(F.pmod(F.xxhash64("x_id"), F.lit(turns)) == turn)
+        rest = mine.join(y, ["k", "i", "j"]).where((F.col("x_root") != F.col("y_root")) & (F.col("y_id") < F.col("x_id")) & (far("x_", "y_") <= differing))
+        more = more.union(scratch.save(agreed(ordered(rest, F.col("x_id"), F.col("x_at"), F.col("y_id"), F.col("y_at")), agreeing), "links"))
+        scratch.tidy()
+    scratch.drop(dealt_at)
+    return more
 
 
 def ordered(pairs: DataFrame, id: Column, at: Column, id2: Column, at2: Column) -> DataFrame:

@@ -480,6 +480,20 @@ def test_copies_with_many_others_in_their_buckets(spark, monkeypatch):
     assert got == {(k, 12 + i) for i, k in enumerate(copies)}
 
 
+def test_copies_are_found_in_turns(spark, monkeypatch):
+    monkeypatch.setattr(media, "COMPARED", 600, raising=False)
+    seen, agreed = [], media.agreed
+    monkeypatch.setattr(media, "agreed", lambda pairs, n: seen.append(pairs.count()) or agreed(pairs, n))
+    rng = random.Random(23)
+    bits = [(rng.getrandbits(62), rng.getrandbits(62)) for _ in range(8)]
+    places = [[(rng.randrange(500), rng.randrange(500)) for _ in bits] for _ in range(12)]
+    copies = rng.sample(range(12), 12)
+    rows = [(i, *at, 0, 0, *d) for i, k in enumerate([*range(12), *copies]) for at, d in zip(places[k], bits)]
+    got = [tuple(r) for r in media.linked(spark.createDataFrame(rows, f"id long, {media.FEATURES}"), 12, 4, Scratch(spark)).collect()]
+    assert sorted(got) == sorted((k, 12 + i) for i, k in enumerate(copies))
+    assert 3 * max(seen[1:]) < sum(seen[1:])
+
+
 def test_crop_of_a_large_image(spark):
     rng = np.random.default_rng(16)
     large = np.kron(rng.integers(0, 256, (50, 50)), np.ones((8, 8))).astype(np.uint8)
