@@ -50,7 +50,7 @@ def batch_latency(spark, sf_dir):
 def curation_modes(spark, sf_dir):
     """Sizes of the corpus without the filter, and without filter and deduplication: repeated texts go, or are drawn again."""
     d = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.when(F.col("source") == "src0", "domain").otherwise("general").alias("source"), F.when(F.col("source") == "src0", 0).otherwise(1).alias("rank"), "text")
-    n = d.count()
+    n = d.where("length(text) > 0").count()  # null and empty texts are in no corpus
     some = lambda mode, total, **more: curate.curated(d, {"domain": 0.4, "general": 0.6}, total, F.lit(True), filtering=False, **more).agg(F.count("*").alias("n"), F.countDistinct("fp").alias("texts")).select(F.lit(mode).alias("mode"), "n", "texts")
     return some("no_filter", 2 * n, near=None).union(some("no_filter_no_dedup", n + 100, deduplicating=False))
 

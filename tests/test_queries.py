@@ -63,3 +63,13 @@ def test_json_repair_of_long_properties(spark, tmp_path):
     props = '{"pad": "' + "x" * 20_000 + '", "k": 7}'
     spark.createDataFrame([(1, props), (2, '{"k": 3}')], "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
     assert {r.event_id: r.k for r in curation.json_repair(spark, str(tmp_path)).collect()} == {1: 7, 2: 3}
+
+
+def test_curation_modes_with_null_and_empty_texts(spark, tmp_path):
+    docs = [(i, f"text {i // 2}", f"src{i % 3}") for i in range(240)] + [(1000, None, "src0"), (1001, "", "src1"), (1002, " ", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(registry.ORACLES["curation_modes"])
+    got = registry.QUERIES["curation_modes"](spark, str(tmp_path))
+    assert rows(got.columns, got.collect()) == rows([d[0] for d in want.description], want.fetchall())
