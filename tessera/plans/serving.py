@@ -72,11 +72,8 @@ def topk_components(spark, sf_dir):
 
 def topk_neighbours(spark, sf_dir):
     """The three vectors of largest dot product with each whose id is divisible by 100."""
-    v = _vectors(spark, sf_dir).select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 3)).alias("e"))
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
-    dot = F.aggregate(F.zip_with("q", "e", lambda a, b: F.round(a * b * 1e6).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    s = v.crossJoin(q).where("vec_id <> query_id").select("query_id", "vec_id", dot.alias("score"))
-    return ranking.top_k(s, "query_id", "score", 3, "vec_id")
+    v = _vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.round(x.cast("double"), 3)).alias("e"))
+    return ranking.nearest(v.where("id % 100 = 0"), v, 3)
 
 
 def nucleus_filter(spark, sf_dir):

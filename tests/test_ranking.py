@@ -58,3 +58,23 @@ def test_processor_without_parameters(spark):
     df = spark.createDataFrame([([1.0, 2.0], None), (None, "{}"), ([], '{"by": 3}'), ([1.0], '{"by": 3}')], "s array<double>, p string")
     got = df.select(programs.processed(F.col("s"), F.col("p"), lambda s, p: np.asarray(s) * p.get("by", 1)).alias("s")).collect()
     assert [r.s for r in got] == [[1.0, 2.0], None, [], [3.0]]
+
+
+def test_nearest_of_odd_vectors(spark, tmp_path, monkeypatch):
+    """Against the SQL: ties, repeated ids, components or vectors that are null or missing, values beyond exact products; strips and runs don't matter."""
+    import duckdb
+
+    from tessera.plans import serving
+
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(np.float32(x)) for x in rng.integers(-3, 4, 5) / 2], 0) for i in range(0, 3000, 20)]
+    rows += [(200, [0.5] * 5, 0), (7, [0.5, None, 1.0, 0.25, 0.0], 0), (300, [None, 0.5, 0.5], 0), (8, None, 0), (9, [], 0), (500, None, 0), (None, [1.0] * 5, 0), (11, [2e6, 1.2344, -3e6, 0.5, 0.125], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(f"SELECT query_id, vec_id, score, rank FROM ({serving.ORACLES['topk_neighbours']})").fetchall()
+    assert len(want) == 90
+    for strip, run in ((2048, 65_536), (40, 7)):
+        monkeypatch.setattr(ranking, "STRIP", strip)
+        monkeypatch.setattr(ranking, "RUN", run)
+        assert sorted(map(tuple, serving.topk_neighbours(spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
