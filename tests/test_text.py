@@ -203,3 +203,20 @@ def test_curation_modes_by_the_counts(spark):
     assert run(filtering=False, deduplicating=False).count() == 300
     kept = run(near=None).collect()
     assert len(kept) == len({r.fp for r in kept}) == len({t for *_, t in rows if len(t) > 6})
+
+
+def test_literals_that_patterns_need(spark):
+    assert tx.needed("(?i)I (?:can not|cannot) Help") == ["i can not help", "i cannot help"]
+    assert tx.needed("ab(?:cd)?|x.*yz") == ["ab", "yz"]
+    assert [tx.needed(p) for p in (r"\d", "a.b", "ab|", "ab(?i)cd", "ab{0}cd", "(ab|cd)*e")] == [None] * 6
+    # texts without any of the literals never reach the patterns, which are slow to fail
+    plan = spark.range(1).select(tx.matches_any(F.col("id").cast("string")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "i cannot assist" in plan
+    texts = ["I CAN NOT ASSIST", "i can’t HELP with that", "As an AI model", "请咨询一下医生", "请咨询他", None, "fine"]
+    assert values(spark, texts, tx.matches_any(F.col("x"))) == [True, True, True, True, False, None, False]
+
+
+def test_script_ratio_counts_what_the_script_leaves(spark):
+    assert values(spark, ["aé ɏ1𠀀", None, "ab 中"], tx.script_ratio(F.col("x"), "latin")) == [0.5, None, 0.5]
+    plan = spark.range(1).select(tx.script_ratio(F.col("id").cast("string"), "latin").alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^A-Z" not in plan
