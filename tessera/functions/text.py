@@ -68,9 +68,24 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+def _settled() -> str:
+    """Characters beyond ASCII, as a class's inside, that NFKC leaves alone whatever is around them: Latin letters, dashes and quotes, unified ideographs."""
+    seconds = {int(d[1], 16) for i in range(0x80, 0x3100) if len(d := unicodedata.decomposition(chr(i)).split()) == 2 and d[0][0] != "<"}
+    blocks = (range(0x80, 0x250), range(0x2010, 0x2030), range(0x3400, 0x4DC0), range(0x4E00, 0xA000))
+    calm = [i for b in blocks for i in b if unicodedata.is_normalized("NFKC", chr(i)) and not unicodedata.combining(chr(i)) and i not in seconds]
+    starts = [i for i, before in zip(calm, [None, *calm]) if before != i - 1]
+    ends = [i for i, after in zip(calm, [*calm[1:], None]) if after != i + 1]
+    return "".join(rf"\x{{{lo:X}}}-\x{{{hi:X}}}" for lo, hi in zip(starts, ends))
+
+
+#: A character that NFKC may change or join with the one before. ASCII fails at the first test.
+UNSETTLED = rf"[\x{{80}}-\x{{10FFFF}}&&[^{_settled()}]]"
+
+
 def to_halfwidth(c: Column) -> Column:
-    """Unicode NFKC. ASCII, which it leaves alone, doesn't leave the JVM's hands."""
-    return F.when(c.rlike(r"[^\x00-\x7f]"), _nfkc(c)).otherwise(c)
+    """Unicode NFKC. Texts that it surely leaves alone don't leave the JVM's hands: a Python function gets all rows, so they are null there."""
+    other = F.when(c.rlike(UNSETTLED), c)
+    return F.coalesce(_nfkc(other), c)
 
 
 def squeeze(c: Column) -> Column:

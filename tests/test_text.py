@@ -220,3 +220,19 @@ def test_script_ratio_counts_what_the_script_leaves(spark):
     assert values(spark, ["aé ɏ1𠀀", None, "ab 中"], tx.script_ratio(F.col("x"), "latin")) == [0.5, None, 0.5]
     plan = spark.range(1).select(tx.script_ratio(F.col("id").cast("string"), "latin").alias("m"))._jdf.queryExecution().optimizedPlan().toString()
     assert "[^A-Z" not in plan
+
+
+def test_nfkc_of_all_characters_and_who_meets_python(spark):
+    import unicodedata
+
+    from pyspark.sql import types as T
+
+    chars = [chr(i) for i in range(0x3100) if i] + ["ＡＢ１２", "e\u0301", "한\u11a8", "中\u0301", "é\u0323", "\U0002f800", None, ""]
+    texts = [c and f"a{c}é" for c in chars] + chars
+    assert values(spark, texts, tx.to_halfwidth(F.col("x"))) == [t and unicodedata.normalize("NFKC", t) for t in texts]
+    seen = F.pandas_udf(lambda s: s.map(lambda x: f"python {x}", na_action="ignore"), T.StringType())
+    kept, tx._nfkc = tx._nfkc, seen
+    try:
+        assert values(spark, ["plain", "Müßiggang – «né» 中文", "ﬁ", None], tx.to_halfwidth(F.col("x"))) == ["plain", "Müßiggang – «né» 中文", "python ﬁ", None]
+    finally:
+        tx._nfkc = kept
