@@ -27,7 +27,7 @@ def curated(
         pool = dedup.first_wins(pool.where(ok), F.col("fp"), "rank", "id")
     if deduplicating and near is not None:
         sigs = checkpointed(dedup.simhash(pool, "id", "text").join(pool.select("id", "source"), "id"))
-        kept = dedup.greedy_survivors(sigs.select("id"), dedup.near_pairs(sigs, "id", ("source",), near), "id")
+        kept = dedup.near_survivors(sigs, "id", ("source",), near)
         pool = pool.join(kept, "id", "left_semi")
     pool = checkpointed(pool.select("id", "source", "fp"))
     sizes = {r["source"]: r["n"] for r in mix.summary(pool, "source").orderBy("source").collect()}

@@ -25,8 +25,8 @@ def unseen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return df.join(seen.select(key).distinct(), key, "left_anti")
 
 
-def simhash(df: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, sig): 64-bit simhash of lower-cased words, each by the low 64 bits of its MD5; ties and empty texts give ones.
+def simhash(df: DataFrame, id: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, sig) and the columns to keep: 64-bit simhash of lower-cased words, each by the low 64 bits of its MD5; ties and empty texts give ones.
 
     A row's signature needs its own text alone, so nothing is shuffled: an Arrow function hashes the distinct words of
     a batch once and sums their votes as a product of matrices.
@@ -42,10 +42,10 @@ def simhash(df: DataFrame, id: str, text: str) -> DataFrame:
                 h = np.array([known.get(w) or known.setdefault(w, int.from_bytes(hashlib.md5(w.encode()).digest()[8:], "big")) for w in (() if words is None else words)], np.uint64)
                 ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
                 out[at] = np.packbits(2 * ones >= len(h), bitorder="little").view(np.int64)[0]
-            yield pd.DataFrame({id: b[id], "sig": out})
+            yield pd.DataFrame({c: b[c] for c in (id, *keep)} | {"sig": out})
 
-    words = df.select(id, tx.tokens(F.col(text)).alias("words"))
-    return words.mapInPandas(signatures, f"`{id}` {dict(df.dtypes)[id]}, sig long")
+    words = df.select(id, *keep, tx.tokens(F.col(text)).alias("words"))
+    return words.mapInPandas(signatures, ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in (id, *keep)) + ", sig long")
 
 
 def bands(sigs: DataFrame, most: int = 3) -> DataFrame:
@@ -60,18 +60,38 @@ def bands(sigs: DataFrame, most: int = 3) -> DataFrame:
     return sigs.withColumn("k", F.explode(F.array(*keys))).select(*sigs.columns, "k.band", "k.v")
 
 
-def near_pairs(sigs: DataFrame, id: str = "doc_id", group: tuple[str, ...] = (), most: int = 3) -> DataFrame:
-    """(a, b): a < b whose signatures differ in at most `most` bits. Distinct signatures are met first, then their ids."""
+def near_kinds(sigs: DataFrame, group: tuple[str, ...] = (), most: int = 3) -> DataFrame:
+    """(group, sig_a, sig_b): distinct signatures, sig_a < sig_b, that differ in at most `most` bits."""
     kinds = bands(sigs.select(*group, "sig").distinct(), most)
     x, y = kinds.withColumnRenamed("sig", "sig_a"), kinds.withColumnRenamed("sig", "sig_b")
     close = (F.col("sig_a") < F.col("sig_b")) & (tx.hamming(F.col("sig_a"), F.col("sig_b")) <= most)
-    met = x.join(y, [*group, "band", "v"]).where(close).select(*group, "sig_a", "sig_b").distinct()
+    return x.join(y, [*group, "band", "v"]).where(close).select(*group, "sig_a", "sig_b").distinct()
+
+
+def near_pairs(sigs: DataFrame, id: str = "doc_id", group: tuple[str, ...] = (), most: int = 3) -> DataFrame:
+    """(a, b): a < b whose signatures differ in at most `most` bits. Distinct signatures are met first, then their ids.
+
+    `sigs` is read several times: cut its lineage if it is dear.
+    """
+    met = near_kinds(sigs, group, most)
     both = met.union(met.select(*group, F.col("sig_b").alias("sig_a"), F.col("sig_a").alias("sig_b")))
     both = both.union(sigs.select(*group, F.col("sig").alias("sig_a"), F.col("sig").alias("sig_b")).distinct())
     named = lambda s, as_: sigs.select(*group, F.col("sig").alias(s), F.col(id).alias(as_))
     return both.join(named("sig_a", "a"), [*group, "sig_a"]).join(named("sig_b", "b"), [*group, "sig_b"]).where("a < b").select("a", "b").distinct()
 
 
+def near_survivors(sigs: DataFrame, id: str = "doc_id", group: tuple[str, ...] = (), most: int = 3) -> DataFrame:
+    """Ids that a greedy pass in id order keeps: an id goes if a kept smaller one's signature, in its group, differs in at most `most` bits.
+
+    Of the ids of one signature only the least can stay: what beats it is smaller than the others and beats them too.
+    So only the least ids of signatures meet, however many copies there are.
+    """
+    firsts = checkpointed(sigs.groupBy(*group, "sig").agg(F.min(id).alias(id)))
+    named = lambda s, as_: firsts.select(*group, F.col("sig").alias(s), F.col(id).alias(as_))
+    met = near_kinds(firsts, group, most).join(named("sig_a", "x"), [*group, "sig_a"]).join(named("sig_b", "y"), [*group, "sig_b"])
+    return greedy_survivors(firsts.select(id), met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), id)
+
+
 def greedy_survivors(ids: DataFrame, pairs: DataFrame, id: str = "doc_id", rounds: int = 1000) -> DataFrame:
     """Ids that a greedy pass in id order keeps: an id goes if a smaller kept one is paired with it.
 

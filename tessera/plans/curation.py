@@ -92,13 +92,18 @@ def _unique(spark, sf_dir):
     return dedup.first_wins(_docs(spark, sf_dir).withColumn("fp", F.md5("text")), F.col("fp"), "doc_id")
 
 
+def _unique_signatures(spark, sf_dir):
+    """(doc_id, sig) of the first document of each text, computed once; texts aren't shuffled."""
+    sigs = dedup.simhash(_docs(spark, sf_dir).withColumn("fp", F.md5("text")), "doc_id", "text", ("fp",))
+    return checkpointed(dedup.first_wins(sigs, F.col("fp"), "doc_id").select("doc_id", "sig"))
+
+
 def near_dup_pairs(spark, sf_dir):
-    return dedup.near_pairs(dedup.simhash(_unique(spark, sf_dir), "doc_id", "text"))
+    return dedup.near_pairs(_unique_signatures(spark, sf_dir))
 
 
 def near_dup_survivors(spark, sf_dir):
-    sigs = checkpointed(dedup.simhash(_unique(spark, sf_dir), "doc_id", "text"))
-    return dedup.greedy_survivors(sigs, dedup.near_pairs(sigs))
+    return dedup.near_survivors(_unique_signatures(spark, sf_dir))
 
 
 def _sizes(d: DataFrame) -> dict[str, int]:

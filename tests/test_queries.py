@@ -73,3 +73,28 @@ def test_curation_modes_with_null_and_empty_texts(spark, tmp_path):
     want = con.execute(registry.ORACLES["curation_modes"])
     got = registry.QUERIES["curation_modes"](spark, str(tmp_path))
     assert rows(got.columns, got.collect()) == rows([d[0] for d in want.description], want.fetchall())
+
+
+def test_near_survivors_meet_by_the_least_ids(spark, monkeypatch):
+    import random
+
+    from tessera.operators import dedup
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice("xy"), rng.choice((0, 1, 3, 7, 15, 31, 63, -1, -2))) for i in rng.sample(range(1000), 200)]
+    kept = []
+    for i, g, s in sorted(rows):
+        if not any(g == h and bin((s ^ t) & (2**64 - 1)).count("1") <= 3 for _, h, t in kept):
+            kept.append((i, g, s))
+    d = spark.createDataFrame(rows, "id long, g string, sig long")
+    pairs, greedy = [], dedup.greedy_survivors
+    monkeypatch.setattr(dedup, "greedy_survivors", lambda ids, p, id: pairs.append(p.count()) or greedy(ids, p, id))
+    assert sorted(r.id for r in dedup.near_survivors(d, "id", ("g",)).collect()) == [i for i, *_ in kept]
+    assert pairs[0] <= 2 * 36
+
+
+def test_near_dup_pairs_compute_signatures_once(spark):
+    from tessera.plans import curation
+
+    plan = curation.near_dup_pairs(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan
