@@ -86,7 +86,9 @@ def near_survivors(sigs: DataFrame, id: str = "doc_id", group: tuple[str, ...] =
     Of the ids of one signature only the least can stay: what beats it is smaller than the others and beats them too.
     So only the least ids of signatures meet, however many copies there are.
     """
-    firsts = checkpointed(sigs.groupBy(*group, "sig").agg(F.min(id).alias(id)))
+    # rows whose group holds a null meet nobody
+    alone = F.when(F.array_contains(F.array(F.lit(False), *[F.col(g).isNull() for g in group]), True), F.col(id))
+    firsts = checkpointed(sigs.groupBy(*group, "sig", alone.alias("_alone")).agg(F.min(id).alias(id)).drop("_alone"))
     named = lambda s, as_: firsts.select(*group, F.col("sig").alias(s), F.col(id).alias(as_))
     met = near_kinds(firsts, group, most).join(named("sig_a", "x"), [*group, "sig_a"]).join(named("sig_b", "y"), [*group, "sig_b"])
     return greedy_survivors(firsts.select(id), met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), id)

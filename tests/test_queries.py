@@ -86,6 +86,8 @@ def test_near_survivors_meet_by_the_least_ids(spark, monkeypatch):
     for i, g, s in sorted(rows):
         if not any(g == h and bin((s ^ t) & (2**64 - 1)).count("1") <= 3 for _, h, t in kept):
             kept.append((i, g, s))
+    rows += [(2000, None, 5), (2001, None, 5)]
+    kept += rows[-2:]
     d = spark.createDataFrame(rows, "id long, g string, sig long")
     pairs, greedy = [], dedup.greedy_survivors
     monkeypatch.setattr(dedup, "greedy_survivors", lambda ids, p, id: pairs.append(p.count()) or greedy(ids, p, id))
